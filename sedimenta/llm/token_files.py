@@ -29,7 +29,7 @@ BLOCK = 256
 MAGIC = b"PFR1"
 END_ID = 2
 FRAME_IDS = 1 << 16
-FRAMES = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
+FRAMES = "part int, seq int, inside long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
 def pack(ids: np.ndarray, percentile: float = 0.95, block: int = BLOCK) -> bytes:
@@ -122,23 +122,24 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
     )
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, part, seq, inside = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, 0
         end = int(end_id).to_bytes(4, "little")
         doc_ids, lengths, held, n = [], [], [], 0
 
         def frame() -> pa.RecordBatch:
             payload = pack(np.frombuffer(b"".join(held), "<u4"))
             return pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([n], pa.int64()),
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([inside], pa.int64()), pa.array([n], pa.int64()),
                  pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([payload], pa.binary())],
-                names=["part", "seq", "n_ids", "doc_ids", "lengths", "payload"],
+                names=["part", "seq", "inside", "n_ids", "doc_ids", "lengths", "payload"],
             )
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), (encode(t.as_py()) for t in batch.column(1))):
+                ids += end
                 if n and n + len(ids) // 4 > FRAME_IDS:
                     yield frame()
+                    inside += n
                     doc_ids, lengths, held, n, seq = [], [], [], 0, seq + 1
                 doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4)
@@ -153,8 +154,8 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
 def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the frames.
 
-    A frame's global start is the sum of the frames before it: per part by a window over the frame index
-    (no payloads), and across parts from one total a part.
+    A frame's start inside its part is in its row; parts follow each other, so one total a part gives the
+    global start.
     """
     frames = spark.read.schema(FRAMES).parquet(path)
     totals = sorted((r.part, r.n) for r in frames.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())
@@ -162,14 +163,8 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
     for part, n in totals:
         starts.append((part, total))
         total += n
-    from pyspark.sql import Window
-
-    index = frames.select(
-        "part", "seq", (F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("inside")
-    )
-    index = index.join(F.broadcast(spark.createDataFrame(starts, "part int, before long")), "part")
-    index = index.select("part", "seq", (F.col("inside") + F.col("before")).alias("start"))
-    placed = frames.join(index, ["part", "seq"]).select("start", "doc_ids", "lengths", "payload")
+    before = F.broadcast(spark.createDataFrame(starts, "part int, before long"))  # 12 bytes a part
+    placed = frames.join(before, "part").select((F.col("inside") + F.col("before")).alias("start"), "doc_ids", "lengths", "payload")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,9 +1,10 @@
 """Exact, cached byte-level BPE encoding with a public tokenizer file.
 
 A byte-level vocabulary whose splitting pattern lets a blank only *start* a piece never merges across a
-single blank that stands between two non-blank characters.  A text may therefore be cut at such blanks and
-each chunk be encoded by itself: the ids are those of the whole text.  Chunks repeat, so a worker keeps
-their ids in a dictionary, and most of the work is ``str.split`` and dictionary look-ups.
+single blank that stands between two non-blank characters; a single line feed there is a piece of its own.
+A text may therefore be cut at both and each chunk be encoded by itself: the ids are those of the whole text.  Chunks repeat, so a worker keeps
+their ids in a dictionary.  Unknown chunks of Latin letters are one piece and go straight to the library's
+model, others through its whole encoder.
 """
 
 from __future__ import annotations
@@ -11,9 +12,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
+_BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
+_MARKS = ".,;:!?"
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
+SLICE = 2 << 20  # characters
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,58 +27,114 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def _byte_alphabet() -> dict[int, str]:
+    """The byte-level alphabet: visible Latin-1 characters stand for their bytes, the others follow from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class _Chunks(dict):
-    """Ids (little-endian unsigned 32-bit) of each chunk; ``None`` for chunks that can't stand alone."""
+    """Ids (little-endian unsigned 32-bit) of chunks behind one lead; ``None`` for chunks that can't stand alone.
+
+    Two generations bound the memory: what was used since the last turn-over survives the next one.
+    """
 
-    def __init__(self, tokenizer, lead: str, most: int):
+    def __init__(self, whole, piece, lead: str, most: int):
         super().__init__()
-        self.tokenizer, self.lead, self.most = tokenizer, lead, most
+        self.whole, self.piece, self.lead, self.most = whole, piece, lead, most // 2
+        self.old: dict[str, bytes | None] = {}
 
     def __missing__(self, chunk: str) -> bytes | None:
-        if self.lead and not chunk or chunk[:1].isspace() or chunk[-1:].isspace():
-            ids = None
-        else:
-            ids = array("I", self.tokenizer.encode(self.lead + chunk, add_special_tokens=False).ids).tobytes()
+        ids = self.old.get(chunk, b"")
+        if ids == b"":
+            word = chunk.rstrip(_MARKS)
+            if word.isalpha() and (word.isascii() or max(word) < "ɐ"):
+                # marks after a letter are a piece of their own
+                ids = self.piece(self.lead + word) if word is chunk or word == chunk else self[word] + self.whole(chunk[len(word) :])
+            elif not chunk or chunk[:1].isspace() or chunk[-1:].isspace():
+                ids = None
+            else:
+                ids = self.whole(self.lead + chunk)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
         self[chunk] = ids
         return ids
 
 
 class ChunkEncoder:
-    """``encode(text)`` gives the ids the tokenizers library gives, as little-endian unsigned 32-bit bytes."""
+    """Gives the ids the tokenizers library gives, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        self.whole = lambda text: array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self.first, self.rest = _Chunks(tokenizer, "", most // 8), _Chunks(tokenizer, " ", most)
+
+        def whole(text: str) -> bytes:
+            return array("I", tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+        marks: dict[str, bytes] = {}
+
+        def short(text: str) -> bytes:
+            """Marks come again and again."""
+            if len(text) > 2:
+                return whole(text)
+            if text not in marks:
+                marks[text] = whole(text)
+            return marks[text]
+
+        tokenize, alphabet = tokenizer.model.tokenize, _byte_alphabet()
+
+        def piece(text: str) -> bytes:
+            """Ids of a text that the splitting pattern leaves whole."""
+            return array("I", [t.id for t in tokenize(text.encode().decode("latin-1").translate(alphabet))]).tobytes()
+
+        self.whole, self.feed = whole, whole("\n")
+        self.first, self.rest = _Chunks(short, piece, "", most // 8), _Chunks(short, piece, " ", most)
 
     def encode(self, text: str | None) -> bytes:
+        """Ids of a text; null and empty texts have none.  A very long text is encoded slice by slice."""
         if not text:
             return b""
-        head, *tail = text.split(" ")
+        if len(text) > SLICE:
+            return b"".join(self._slices(text))
+        return self._slice(text, False)
+
+    def _slices(self, text: str) -> Iterator[bytes]:
+        """Slices start at a blank between other characters."""
+        at = 0
+        while at < len(text):
+            cut = _BLANK.search(text, at + SLICE)
+            stop = cut.start() if cut else len(text)
+            yield self._slice(text[at:stop], at > 0)
+            at = stop + 1
+
+    def _slice(self, text: str, lead: bool) -> bytes:
+        first, rest = self.first, self.rest
         try:
-            return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
-        except TypeError:  # blanks in a row, or other white space beside a blank
+            out, heads = [], rest if lead else first
+            for line in text.split("\n"):
+                head, *tail = line.split(" ")
+                out.append(heads[head] + b"".join(map(rest.__getitem__, tail)))
+                heads = first
+            return self.feed.join(out)
+        except TypeError:  # white space beside white space
             pass
-        head, *tail = _BLANK.split(text)
-        if head[:1].isspace() or head[-1:].isspace() or tail and tail[-1][-1:].isspace():
-            return self._edges(head, tail)
-        return self.first[head] + b"".join(map(self.rest.__getitem__, tail))
-
-    def _edges(self, head: str, tail: list[str]) -> bytes:
-        """White space at either end of the text stays with its chunk, which is encoded by itself."""
-        if not tail:
-            return self.whole(head)
-        return self.whole(head) + b"".join(map(self.rest.__getitem__, tail[:-1])) + self.whole(" " + tail[-1])
+        head, *others = _BREAK.split(text)
+        out = [self.whole(" " + head if lead else head)]
+        for mark, chunk in zip(others[::2], others[1::2]):
+            if mark == "\n":
+                out.append(self.feed)
+            ids = (first if mark == "\n" else rest)[chunk]
+            out.append(self.whole(chunk if mark == "\n" else " " + chunk) if ids is None else ids)
+        return b"".join(out)
 
 
-def encoder(path: str, most: int = 600_000) -> ChunkEncoder:
+def encoder(path: str, most: int = 1_500_000) -> ChunkEncoder:
     """One encoder for each worker process and tokenizer file."""
     key = (path, most)
     if key not in _ENCODERS:
