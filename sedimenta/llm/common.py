@@ -49,6 +49,35 @@ def own_columns(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
 
 
+def with_text_column(docs: DataFrame, name: str, ddl: str, prepare) -> DataFrame:
+    """``docs`` with a column computed from its texts, batch by batch; narrow.
+
+    ``prepare()`` runs once a task and gives a function from a list of texts (or None) to a list of values.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    kind = _parse_datatype_string(ddl)
+    arrow = to_arrow_type(kind)
+
+    def run(batches):
+        values_of = prepare()
+        for batch in batches:
+            values = values_of(batch.column(batch.schema.get_field_index("text")).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, kind)]))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that no column of ``docs`` has, whatever its case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest vertex reachable from every vertex of ``edges(a, b)``; returns ``(v, component)``.
 

@@ -11,14 +11,12 @@ spans over all places gives the covered words.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import own_columns, table
+from sedimenta.llm.common import free_name, own_columns, table, with_text_column
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
@@ -90,71 +88,84 @@ def covered(best: np.ndarray, least: int, length: np.ndarray | int) -> np.ndarra
     return np.cumsum(reach[:-1]) > 0
 
 
-MEASURES = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "repeat_covered long, repeat_longest long"
-)
-
-
-def measures(docs: DataFrame, min_repeat: int = MIN_REPEAT) -> DataFrame:
-    """Counts of every row of ``docs(doc_id, text)``; a null text has no words.  Narrow: no shuffle.
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_covered", "repeat_longest")
+
+
+def _chunk(texts: list[bytes], min_repeat: int) -> list[tuple]:
+    """The measures of some texts, worked out together."""
+    out, all_words, sizes = [], [], []
+    for raw in texts:
+        words = WORD.findall(raw)
+        characters = len(raw.decode("utf-8", "surrogatepass")) - (len(raw) - len(raw.translate(None, SPACES)))
+        lines = [x for x in raw.split(b"\n") if x.translate(None, SPACES)]
+        out.append((len(words), characters, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines))))
+        all_words += words
+        sizes.append(len(words))
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in all_words), np.int64, len(all_words))
+    best = longest_repeats(ids, np.repeat(np.arange(len(texts)), sizes))
+    bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+    totals = [np.r_[0, np.cumsum(x)] for x in (covered(best, 3, 3), covered(best, min_repeat, best))]
+    rows = []
+    for i, row in enumerate(out):
+        a, b = bounds[i], bounds[i + 1]
+        rows.append((*row, *(int(t[b] - t[a]) for t in totals), int(best[a:b].max()) if b > a else 0))
+    return rows
+
+
+def measure(texts: list[str | None], min_repeat: int = MIN_REPEAT) -> list[dict]:
+    """The measures of every text; null texts have no words.  Texts are grouped up to about CHUNK_WORDS words."""
+    rows, held, size = [], [], 0
+    for text in texts:
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if held and size + len(raw) // 4 > CHUNK_WORDS:
+            rows += _chunk(held, min_repeat)
+            held, size = [], 0
+        held.append(raw)
+        size += len(raw) // 4
+    rows += _chunk(held, min_repeat) if held else []
+    return [dict(zip(FIELDS, r)) for r in rows]
+
+
+def with_measures(docs: DataFrame, name: str, min_repeat: int = MIN_REPEAT) -> DataFrame:
+    """``docs`` with a struct of its texts' measures in column ``name``; narrow.
 
     ``repeat_covered`` counts words in repeats of at least ``min_repeat`` words, ``repeat_longest`` is the
     longest repeat in words (0 if no word occurs twice).
     """
+    ddl = "struct<" + ", ".join(f"{f}: long" for f in FIELDS) + ">"
+    return with_text_column(docs, name, ddl, lambda: lambda texts: measure(texts, min_repeat))
+
+
+def _failed(m: str) -> F.Column:
+    """Under 50 words, or over half of the words in 3-word windows found twice."""
+    return (F.col(f"{m}.n_words") < 50) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
+
 
-    def chunk(texts: list[bytes]) -> list[tuple]:
-        out, all_words, sizes = [], [], []
-        for raw in texts:
-            words = WORD.findall(raw)
-            characters = len(raw.decode("utf-8", "surrogatepass")) - (len(raw) - len(raw.translate(None, SPACES)))
-            lines = [x for x in raw.split(b"\n") if x.translate(None, SPACES)]
-            out.append((len(words), characters, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines))))
-            all_words += words
-            sizes.append(len(words))
-        number: dict[bytes, int] = {}
-        ids = np.fromiter((number.setdefault(w, len(number)) for w in all_words), np.int64, len(all_words))
-        document = np.repeat(np.arange(len(texts)), sizes)
-        best = longest_repeats(ids, document)
-        triple, long = covered(best, 3, 3), covered(best, min_repeat, best)
-        bounds = np.r_[0, np.cumsum(sizes)].astype(np.int64)
-        totals = [np.r_[0, np.cumsum(x)] for x in (triple, long)]
-        rows = []
-        for i, row in enumerate(out):
-            a, b = bounds[i], bounds[i + 1]
-            rows.append((*row, *(int(t[b] - t[a]) for t in totals), int(best[a:b].max()) if b > a else 0))
-        return rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, texts, size = [], [], 0
-            for text in batch.column(1):
-                raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if texts and size + len(raw) // 4 > CHUNK_WORDS:
-                    rows += chunk(texts)
-                    texts, size = [], 0
-                texts.append(raw)
-                size += len(raw) // 4
-            rows += chunk(texts) if texts else []
-            columns = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(x, pa.int64()) for x in columns)], names=[x.split()[0] for x in MEASURES.split(", ")]
-            )
-
-    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, MEASURES)
+def _calm(m: str, max_covered: float, max_longest: int) -> F.Column:
+    return (F.col(f"{m}.repeat_covered") <= max_covered * F.col(f"{m}.n_words")) & (F.col(f"{m}.repeat_longest") <= max_longest)
 
 
 def judged(
     docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST
 ) -> DataFrame:
-    """:func:`measures` with ``base_failed`` and ``kept``.
+    """One row for each row of ``docs(doc_id, text)``: its measures, ``base_failed`` and ``kept``.
 
-    Base: under 50 words, or over half of the words in 3-word windows found twice.  The method then limits
-    the fraction of words covered by repeats and the longest repeat.  Empty and null texts fail.
+    A text that passes the base rules is kept if the fraction of its words covered by repeats and its longest
+    repeat are within the limits.  Empty and null texts fail.
     """
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    calm = (F.col("repeat_covered") <= max_covered * F.col("n_words")) & (F.col("repeat_longest") <= max_longest)
-    return measures(docs, min_repeat).withColumn("base_failed", base).withColumn("kept", ~base & calm)
+    m = with_measures(own_columns(docs, doc_id="doc_id", text="text"), "m", min_repeat)
+    kept = ~_failed("m") & _calm("m", max_covered, max_longest)
+    return m.select("doc_id", "m.*", _failed("m").alias("base_failed"), kept.alias("kept"))
+
+
+def without_repetitive(
+    docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`judged` keeps, unchanged."""
+    m = free_name(docs, "measures")
+    kept = ~_failed(m) & _calm(m, max_covered, max_longest)
+    return with_measures(docs, m, min_repeat).filter(kept).select(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,10 +21,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import connected_components, cut, own_columns, table
+from sedimenta.llm.common import connected_components, cut, free_name, own_columns, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(256)).lower()
@@ -113,6 +113,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     )
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class, unchanged; one row for each such doc_id."""
+    first = near_duplicates(docs, shingle, distance).select(F.col("component_id").alias("first")).distinct()
+    key, rank = free_name(docs, "first"), free_name(docs, "rank")
+    kept = docs.join(first.withColumnRenamed("first", key), docs["doc_id"].eqNullSafe(F.col(key)))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    return kept.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1).select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of the whole ``documents`` table."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import own_columns, table
+from sedimenta.llm.common import free_name, own_columns, table, with_text_column
 
 FIT_ROWS = 16_000  # labelled rows the lexicon is fitted on, at most
 SHORTLIST = 60_000  # candidate entries that are counted in clean texts, at most
@@ -256,16 +256,23 @@ def _phrases(lexicon: Lexicon, rows: DataFrame) -> list[str]:
     return sorted(r.phrase for r in seen.orderBy(F.desc("n"), "phrase").limit(1000).collect())
 
 
-def raw_scores(rows: DataFrame, lexicon: Lexicon, kept: str) -> DataFrame:
-    """``raw`` beside the integer column ``kept`` for every row of ``rows(text, ...)``; narrow."""
+def with_raw(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
+    """``docs`` with its raw scores in column ``name``; narrow."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare():
         automaton = lexicon.automaton()
-        for batch in batches:
-            raw = [lexicon.raw(fold(t.as_py()), automaton) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.float64()), batch.column(1)], names=["raw", kept])
+        return lambda texts: [lexicon.raw(fold(t), automaton) for t in texts]
+
+    return with_text_column(docs, name, "double", prepare)
+
 
-    return rows.select("text", F.col(kept).cast("long").alias(kept)).mapInArrow(run, f"raw double, {kept} long")
+def raw_scores(rows: DataFrame, lexicon: Lexicon, kept: str) -> DataFrame:
+    """``raw`` beside column ``kept`` for every row of ``rows(text, ...)``."""
+    return with_raw(rows.select("text", F.col(kept).cast("long").alias(kept)), lexicon, "raw").select("raw", kept)
+
+
+def _score(raw: F.Column, lexicon: Lexicon) -> F.Column:
+    return F.least(F.lit(1.0), F.lit(1.0) - F.exp(F.lit(math.log1p(-THRESHOLD)) * raw / F.lit(float(lexicon.cut))))
 
 
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -274,10 +281,15 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts score 0.  A null doc_id isn't held out.
     """
     rows = raw_scores(own_columns(docs, doc_id="doc_id", text="text"), lexicon, "doc_id")
-    score = F.least(F.lit(1.0), F.lit(1.0) - F.exp(F.lit(math.log1p(-THRESHOLD)) * F.col("raw") / F.lit(float(lexicon.cut))))
-    return rows.select("doc_id", F.coalesce(_unlearnable("doc_id"), F.lit(False)).alias("held_out"), score.alias("score")).withColumn(
-        "predicted", (F.col("score") >= THRESHOLD).cast("int")
-    )
+    held_out = F.coalesce(_unlearnable("doc_id"), F.lit(False)).alias("held_out")
+    rows = rows.select("doc_id", held_out, _score(F.col("raw"), lexicon).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs`` that score under the threshold, unchanged."""
+    name = free_name(docs, "raw")
+    return with_raw(docs, lexicon, name).filter(_score(F.col(name), lexicon) < THRESHOLD).select(*docs.columns)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
