@@ -24,7 +24,7 @@ SYMBOLS = b"#*$%&|<>"
 CHUNK_WORDS = 300_000
 
 MIN_REPEAT = 8  # words; shorter repeats are common turns of phrase
-MAX_COVERED = 0.30  # of a text's words
+MAX_COVERED = 0.50  # of a text's words
 MAX_LONGEST = 100  # words
 
 
