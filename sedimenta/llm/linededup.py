@@ -278,7 +278,7 @@ def without_repeated_lines(docs: DataFrame, shortest: int = SHORT) -> DataFrame:
     text, and null texts stay null.
     """
     classes = line_classes(docs).withColumn("kept", F.col("kept") | (F.col("len") < shortest))
-    gone = classes.filter("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("__gone"))
+    gone = classes.filter("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
     gone = gone.withColumnRenamed("doc_id", "__gone_id")
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left")
     lines = F.split("text", "\n", -1)
