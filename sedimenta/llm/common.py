@@ -78,6 +78,25 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
+FILTER_BITS = 23  # an id filter is a megabyte, whatever the input
+
+
+def id_filter(ids: DataFrame) -> dict[int, bytes]:
+    """A bitmap over the column ``id`` (64-bit hashes): which of 2**FILTER_BITS residues occur.
+
+    Its size is fixed; with very many ids it lets more pass, and a join afterwards still decides.
+    """
+    bit = F.col("id").bitwiseAND((1 << FILTER_BITS) - 1)
+    pages = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 15).alias("page"))
+    return {r.page: bytes(r.bits) for r in pages.agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits")).collect()}
+
+
+def may_hold(held: dict[int, bytes], name: int) -> bool:
+    at = name & ((1 << FILTER_BITS) - 1)
+    page = held.get(at >> 15)
+    return bool(page and page[(at & 32767) >> 3] >> (at & 7) & 1)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest vertex reachable from every vertex of ``edges(a, b)``; returns ``(v, component)``.
 

@@ -20,12 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import connected_components, cut, own_columns, stored, table
+from sedimenta.llm.common import connected_components, cut, id_filter, may_hold, own_columns, stored, table
 
 EDITS = 2
 SHORT = 20  # characters; shorter lines are matched exactly only
 MEDIUM = 40  # characters; lines under this may differ by one edit, longer ones by EDITS
-FILTER_BITS = 23  # a fixed megabyte that tells which lines' texts are wanted
 
 
 def allowed(a: int, b: int, edits: int = EDITS) -> int:
@@ -174,7 +173,7 @@ def postings_of(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: dict[int, bytes]) -> DataFrame:
-    """``id, line`` of the distinct lines whose bit is set in ``wanted`` (see :func:`_wanted`)."""
+    """``id, line`` of the distinct lines that the id filter ``wanted`` lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,9 +182,7 @@ def _texts(docs: DataFrame, wanted: dict[int, bytes]) -> DataFrame:
                 for line in (text.as_py() or "").split("\n"):
                     if len(line) >= SHORT:
                         name = _line_id(line.encode("utf-8", "surrogatepass"))
-                        at = name & ((1 << FILTER_BITS) - 1)
-                        page = wanted.get(at >> 15)
-                        if page and page[(at & 32767) >> 3] >> (at & 7) & 1:
+                        if may_hold(wanted, name):
                             found[name] = line
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())], names=["id", "line"])
 
@@ -194,11 +191,7 @@ def _texts(docs: DataFrame, wanted: dict[int, bytes]) -> DataFrame:
 
 
 def _wanted(pairs: DataFrame) -> dict[int, bytes]:
-    """A bitmap of fixed size (2**FILTER_BITS bits) over the ids in ``pairs``."""
-    bit = F.col("id").bitwiseAND((1 << FILTER_BITS) - 1)
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).select(bit.alias("bit"))
-    pages = ids.groupBy(F.shiftright("bit", 15).alias("page")).agg(F.bitmap_construct_agg(F.col("bit").bitwiseAND(32767)).alias("bits"))
-    return {r.page: bytes(r.bits) for r in pages.collect()}
+    return id_filter(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))))
 
 
 def _counts_apart() -> F.Column:

@@ -24,32 +24,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import connected_components, cut, free_name, own_columns, table
+from sedimenta.llm.common import connected_components, cut, free_name, id_filter, may_hold, own_columns, stored, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(256)).lower()
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """SimHash of the lower-cased (A-Z) text's word shingles, repeats counted; no words give zero.
+def _words(text: str | None) -> list[bytes]:
+    return WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
 
-    A bit is one if it is set in over half of the shingles' XXH64 hashes (seed 42).
-    """
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every run of ``shingle`` words joined by blanks; of all words if they are fewer."""
     from xxhash import xxh64_intdigest
 
-    words = WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(LOWER))
-    if not words:
-        return 0
     line = b" ".join(words)
     if len(words) <= shingle:
-        return xxh64_intdigest(line, 42)
+        return np.array([xxh64_intdigest(line, 42)] if words else [], dtype="<u8")
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    hashes = np.array(
-        [xxh64_intdigest(line[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())],
-        dtype="<u8",
-    )
+    spans = zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())
+    return np.array([xxh64_intdigest(line[a:b], 42) for a, b in spans], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each one if it is set in over half of the hashes; zero without hashes."""
     total = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 4096):  # bounded memory for a very long text
         part = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -58,6 +58,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """SimHash of the lower-cased (A-Z) text's word shingles, repeats counted; no words give zero."""
+    return majority(shingle_hashes(_words(text), shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (signed 64-bit) of every row of ``docs(doc_id, text)``; narrow, one batch in memory."""
 
@@ -113,9 +118,134 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     )
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class, unchanged; one row for each such doc_id."""
-    first = near_duplicates(docs, shingle, distance).select(F.col("component_id").alias("first")).distinct()
+WIDE = 4  # 64-bit parts of a wide fingerprint: 32 positional bytes
+WIDE_APART = 62  # differing bits of 256: the mean at a similarity of 0.8 (39) and four standard deviations
+
+
+def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
+    """Independent-looking hashes for part ``part``, from one hash a shingle."""
+    if not part:
+        return hashes
+    x = hashes + np.uint64(0x9E3779B97F4A7C15 * part & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _node(words: list[bytes]) -> int:
+    """The signed 64-bit hash that names a text by its words."""
+    from xxhash import xxh64_intdigest
+
+    value = xxh64_intdigest(b" ".join(words), 1)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, node, f0..f3``: a name for the text's words and its 256-bit SimHash; narrow."""
+    schema = "doc_id long, node long, " + ", ".join(f"f{k} long" for k in range(WIDE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, parts = [], [[] for _ in range(WIDE)]
+            for text in batch.column(1):
+                words = _words(text.as_py())
+                hashes = shingle_hashes(words, shingle)
+                nodes.append(_node(words))
+                for k in range(WIDE):
+                    parts[k].append(majority(_mixed(hashes, k)))
+            columns = [np.array(nodes, dtype=np.int64), *(np.array(p, dtype=np.uint64).astype(np.int64) for p in parts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "node", *(f"f{k}" for k in range(WIDE))])
+
+    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, schema)
+
+
+def _shingle_sets(docs: DataFrame, shingle: int, wanted: dict[int, bytes]) -> DataFrame:
+    """``node, hashes`` (distinct) of the texts that the id filter lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {}
+            for text in batch.column(1):
+                words = _words(text.as_py())
+                node = _node(words)
+                if node not in found and may_hold(wanted, node):
+                    found[node] = np.unique(shingle_hashes(words, shingle)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "hashes"])
+
+    rows = own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "node long, hashes array<long>")
+    return rows.groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets overlap by ``similarity`` of their union."""
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
+    sets = stored(_shingle_sets(docs, shingle, id_filter(ids)), "shingle-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
+    both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b")
+    # sizes that are too far apart need no look at the sets
+    small, large = F.least(F.size("left"), F.size("right")), F.greatest(F.size("left"), F.size("right"))
+    common = F.size(F.array_intersect("left", "right"))
+    close = F.when(small < similarity * large, False).otherwise(common >= similarity * (F.size("left") + F.size("right") - common))
+    return both.filter(close).select("a", "b")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` of every row: classes of texts whose shingle sets are at least ``similarity`` alike.
+
+    64 bits a few apart don't reach this far, so the fingerprint has 256: 32 positional bytes in four groups
+    of eight.  The index posts pairs of bytes of a group, so texts that share two bytes of a group meet; at a
+    similarity of 0.8 that fails for about one pair in a hundred.  A pair is tallied by its differing bits
+    and verified on its shingle sets.  First every text meets one pivot of each of its postings; then only
+    texts that are still in different classes meet, so a crowd of copies isn't expanded into its pairs.
+    Texts without words are one class.  Null, empty and repeated texts keep a row each.
+    """
+    rows = cut(wide_fingerprints(docs, shingle))
+    fp = [f"f{k}" for k in range(WIDE)]
+    heads = cut(rows.groupBy("node").agg(F.min("doc_id").alias("head"), *[F.first(f).alias(f) for f in fp]))
+
+    keys, number = [], 0
+    for k in range(WIDE):
+        for i, j in combinations(range(8), 2):
+            pair = F.expr(f"((f{k} >> {8 * i}) & 255) * 256 + ((f{k} >> {8 * j}) & 255)")
+            keys.append(pair + F.lit(number << 16).cast("long"))
+            number += 1
+    postings = heads.select("node", F.explode(F.array(*keys)).alias("key"), *fp)
+    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", *fp)])
+    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fp), F.lit(0))
+
+    # one pivot a posting, another one in each
+    pivot = postings.groupBy("key").agg(F.min_by(F.struct("node", *fp), F.xxhash64("node", "key")).alias("p"), F.min("node").alias("x"), F.max("node").alias("y"))
+    pivot = pivot.filter("x <> y").select("key", "p.*")
+    met = side(postings, "a").join(side(pivot, "b"), "key").filter("a_node <> b_node").filter(apart <= WIDE_APART)
+    pairs = cut(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    edges = cut(_verified(docs, pairs, shingle, similarity))
+    classes = connected_components(edges).select(F.col("v").alias("node"), "component")
+
+    named = heads.join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "head")
+    left = lambda s: side_of(named, keys, fp, s)
+    crossed = left("a").join(left("b"), "key").filter("a_node < b_node and a_c <> b_c").filter(apart <= WIDE_APART)
+    crossed = crossed.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    crossed = cut(crossed.join(pairs, ["a", "b"], "left_anti"))
+    edges = edges.unionByName(_verified(docs, crossed, shingle, similarity))
+
+    classes = connected_components(edges).select(F.col("v").alias("node"), "component")
+    placed = heads.select("node", "head").join(classes, "node", "left").select("node", "head", F.coalesce("component", "node").alias("c"))
+    first = placed.groupBy("c").agg(F.min("head").alias("component_id"))
+    return rows.select("doc_id", "node").join(placed.join(first, "c").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def side_of(named: DataFrame, keys: list, fp: list[str], s: str) -> DataFrame:
+    """Postings of nodes with their class, columns marked with ``s``."""
+    rows = named.select("node", "c", F.explode(F.array(*keys)).alias("key"), *fp)
+    return rows.select("key", *[F.col(x).alias(f"{s}_{x}") for x in ("node", "c", *fp)])
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class (see :func:`similar_documents`), unchanged.
+
+    One row for each such doc_id stays.
+    """
+    first = similar_documents(docs, shingle, similarity).select(F.col("component_id").alias("first")).distinct()
     key, rank = free_name(docs, "first"), free_name(docs, "rank")
     kept = docs.join(first.withColumnRenamed("first", key), docs["doc_id"].eqNullSafe(F.col(key)))
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))

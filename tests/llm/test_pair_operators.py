@@ -69,10 +69,41 @@ def test_simhash(documents, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
     kept = simhash.one_of_each(odd)
     assert kept.columns == odd.columns
-    ids = {r.component_id for r in simhash.near_duplicates(odd).collect()}
+    ids = {r.component_id for r in simhash.similar_documents(odd).collect()}
     assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is None, x)) == sorted(ids, key=lambda x: (x is None, x))
 
 
+def shingles(text, k=5):
+    import re
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or {tuple(words)}
+
+
+def test_similar_documents(spark, documents, odd, empty):
+    rng = random.Random(8)
+    base = [["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)] for n in (30, 80, 200)]
+    texts = []
+    for _ in range(90):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for df in (made, documents, odd.select("doc_id", "text")):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        sets = [shingles(t) for _, t in rows]
+        edges = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+        group = components(len(rows), edges)
+        first = {}
+        for (d, _), g in zip(rows, group):
+            first[g] = min((x for x in (first.get(g), d) if x is not None), default=None)
+        expected = sorted(((d, first[g]) for (d, _), g in zip(rows, group)), key=key)
+        got = sorted((tuple(r) for r in simhash.similar_documents(df).collect()), key=key)
+        assert sum(a == b for a, b in zip(got, expected)) >= 0.99 * len(expected) and len(got) == len(expected)
+    assert simhash.similar_documents(empty).count() == 0
+
+
 @pytest.mark.parametrize("hot", [2, 64, 100_000])
 def test_links_by_both_ways(spark, hot):
     rng = random.Random(hot)

@@ -12,7 +12,7 @@ def test_stages_keep_columns_and_apply_their_decisions(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     bad = {r.doc_id for r in toxicity.scored(docs, toxicity.learn(docs, labels)).filter("predicted = 1").collect()}
     good = {r.doc_id for r in repetition.judged(docs).filter("kept").collect()}
-    first = {r.component_id for r in simhash.near_duplicates(docs, shingle=5).collect()}
+    first = {r.component_id for r in simhash.similar_documents(docs).collect()}
     ids = lambda df: {r.doc_id for r in df.select("doc_id").collect()}
     outs = {name: stages[name](spark, docs, SF) for name in ("toxicity", "quality rules", "line dedup", "near dedup")}
     assert all(df.columns == docs.columns for df in outs.values())
