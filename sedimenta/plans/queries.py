@@ -15,6 +15,7 @@ from sedimenta.operators.query import QueryBuilder
 from sedimenta.plans import resolve as R
 from sedimenta.sources import fixtures as X
 from sedimenta.sources.fixtures import NOW_MS, sql
+from sedimenta.sources.logstore import working_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -259,6 +260,17 @@ def segment_heat(s, d):
     return H.of_segments(X.mutation_log(s, d).withColumn("segment", F.col("k") % 16), H.by_key(X.access_log(s, d)))
 
 
+@query("mode_roundtrip", f"SELECT {_fnv_sql('url')} AS url_hash, url, title, folder, created_at FROM bookmarks")
+def mode_roundtrip(s, d):
+    from sedimenta.sources.engine import PERSISTENT, ULTRA, Container
+
+    container = Container(s, working_dir(s, "mode"), PERSISTENT, lambda: NOW_MS)
+    container.bookmarks().insert(X.bookmarks(s, d).withColumn("url_hash", S.fnv1a128(F.col("url"))))
+    container.set_mode(ULTRA)
+    container.set_mode(PERSISTENT)
+    return container.bookmarks().rows()
+
+
 # --- scalars ------------------------------------------------------------------------------------------------
 simple("extract_prefix", lambda s, d: X.localstore(s, d).select("key", S.key_prefix(F.col("key")).alias("prefix"), S.key_prefix(F.col("origin")).alias("origin_prefix")),
        "SELECT key, CASE WHEN contains(key, ':') THEN substr(key, 1, strpos(key, ':')) ELSE substr(key, 1, 8) END AS prefix, substr(origin, 1, 8) AS origin_prefix FROM localstore")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions.scalar import is_live
 from sedimenta.sources import fixtures as X
 from sedimenta.sources.fixtures import NOW_MS, sql
+from sedimenta.sources.logstore import working_dir
 from sedimenta.streaming import ingest
 
 
@@ -29,23 +30,12 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.mutation_log(Streamed, sf_dir)
 
 
-def _checkpoint(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="sedimenta-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def stream_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.run_once(ingest.counters(_stream(spark, sf_dir)), f"counters_{uuid.uuid4().hex}", _checkpoint(spark))
+    return ingest.run_once(ingest.counters(_stream(spark, sf_dir)), f"counters_{uuid.uuid4().hex}", working_dir(spark, "stream"))
 
 
 def stream_ingest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ingest.run_once(ingest.newest_values(_stream(spark, sf_dir)), f"newest_{uuid.uuid4().hex}", _checkpoint(spark))
+    rows = ingest.run_once(ingest.newest_values(_stream(spark, sf_dir)), f"newest_{uuid.uuid4().hex}", working_dir(spark, "stream"))
     return rows.filter(F.col("op") != "del").filter(is_live(F.col("expires_at"), NOW_MS)).select("k", "value", "seq")
 
 
