@@ -272,4 +272,16 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_embeddings": op10_embeddings}
-ORACLE_SQL: dict[str, str] = {}
+# every pair of a label in full; fine for a few thousand vectors
+ORACLE_SQL = {
+    "op10_embeddings": f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
+reach AS (SELECT a AS s, b AS t FROM links UNION SELECT r.s, l.b FROM reach r JOIN links l ON r.t = l.a),
+least AS (SELECT s, min(t) AS t FROM reach GROUP BY s), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT x.vec_id, coalesce(d.n, 0) AS n_links, least(x.vec_id, coalesce(m.t, x.vec_id)) AS component_id, x.vec_id <= coalesce(m.t, x.vec_id) AS kept
+FROM embeddings x LEFT JOIN degree d ON d.a = x.vec_id LEFT JOIN least m ON m.s = x.vec_id
+"""
+}

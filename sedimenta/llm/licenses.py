@@ -175,5 +175,31 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
 
 
+def _sql() -> str:
+    """The same in SQL: a template counts at every place of its key phrase (whose words are rare)."""
+    vocabulary = set(_vocabulary())
+    places = lambda words: f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(words))})"
+    starts = ", ".join(f"{places(p.split())} AS at_{label}" for label, p in BASE)
+    scores = []
+    for t, (_, notice, phrase) in enumerate(TEMPLATES):
+        words, key = notice.split(), phrase.split()
+        key_at = next(p for p in range(len(words)) if words[p : p + len(key)] == key)
+        kept = [(p - key_at, x) for p, x in enumerate(words) if x in vocabulary]
+        found = " + ".join(f"CASE WHEN i + {o} >= 1 AND w[i + {o}] = '{x}' THEN 1 ELSE 0 END" for o, x in kept)
+        scores.append(f"coalesce(list_max(list_transform({places(key)}, lambda i: ({found}) / CAST({len(kept)} AS DOUBLE))), 0.0) AS s{t}")
+    labels = ", ".join(f"CASE WHEN s{t} > 0 THEN '{label}' END" for t, (label, _, _) in enumerate(TEMPLATES))
+    base = ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for label, _ in BASE)
+    every = " || ".join(f"at_{label}" for label, _ in BASE)
+    join = lambda xs: f"coalesce(array_to_string(list_sort(list_distinct([{xs}])), ','), '')"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return (
+        f"WITH d AS (SELECT doc_id, regexp_extract_all({low}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents), "
+        f"p AS (SELECT *, {starts}, {', '.join(scores)} FROM d) "
+        f"SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base, CAST(list_min({every}) - 1 AS BIGINT) AS first_word, "
+        f"CAST(list_max({every}) - 1 AS BIGINT) AS last_word, {join(base)} AS base_labels, {join(base + ', ' + labels)} AS labels, "
+        f"greatest({', '.join(f's{t}' for t in range(len(TEMPLATES)))}) AS score FROM p"
+    )
+
+
 QUERIES = {"op6_licenses": op6_licenses}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op6_licenses": _sql()}

@@ -170,8 +170,35 @@ def without_repetitive(
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition rules over the whole ``documents`` table."""
-    return judged(table(spark, sf_dir, "documents"))
+    return judged(table(spark, sf_dir, "documents")).drop("repeat_longest")
+
+
+def _windows(name: str, size: int) -> str:
+    """SQL: places of windows of ``size`` words that a text has twice or more."""
+    return (
+        f"{name} AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, hash(list_slice(w, i, i + {size - 1}))) AS n "
+        f"FROM (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM d)) WHERE n > 1)"
+    )
+
+
+def _covered_words(name: str, size: int) -> str:
+    return f"(SELECT doc_id, count(DISTINCT i + k) AS n FROM {name}, range({size}) r(k) GROUP BY doc_id)"
 
 
 QUERIES = {"op4_quality": op4_quality}
-ORACLE_SQL: dict[str, str] = {}
+# a word is in a repeat of 8 words or more just when it is in an 8-word window found twice
+ORACLE_SQL = {
+    "op4_quality": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+{_windows("three", 3)}, {_windows("long", MIN_REPEAT)}, {_windows("too_long", MAX_LONGEST + 1)},
+lines AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM d)
+  WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(l.n, 0) AS n_dup_lines,
+  coalesce(t.n, 0) AS n_repeat_words, coalesce(c.n, 0) AS repeat_covered, d.doc_id IN (SELECT doc_id FROM too_long) AS too_long
+  FROM d LEFT JOIN lines l USING (doc_id) LEFT JOIN {_covered_words("three", 3)} t USING (doc_id) LEFT JOIN {_covered_words("long", MIN_REPEAT)} c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, repeat_covered, base_failed,
+  NOT base_failed AND repeat_covered <= {MAX_COVERED} * n_words AND NOT too_long AS kept FROM b
+"""
+}
