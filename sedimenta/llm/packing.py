@@ -4,8 +4,9 @@ Documents are cut into full windows and a remainder.  The multiset of remainder
 fewer than ``window`` counts however many documents there are; the planner works on that histogram alone.
 Each step fixes the longest length left and finds, by a bitset subset-sum over the other lengths and their
 counts, the multiset that fills the window closest to capacity; backtracking gives its counts, and the
-pattern is applied as often as the counts allow.  When no multiset fills a window exactly, the lengths left
-are laid end to end and cut at window borders (documents may be cut freely), so at most one sequence is padded.
+pattern is applied as often as the counts allow.  A length that no multiset completes to a full window is set
+aside (later counts are only smaller); what was set aside is laid end to end and cut at window borders
+(documents may be cut freely), so at most one sequence is padded.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from sedimenta.llm.token_ids import encoder, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
+BROADCAST_ROWS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -63,11 +65,13 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[in
     """
     left = {length: n for length, n in histogram.items() if n}
     taken: Counter = Counter()
-    runs, sequence = [], 0
+    runs, sequence, aside = [], 0, {}
     while left:
-        pattern = fill(left, max(left), window)
+        first = max(left)
+        pattern = fill(left, first, window)
         if sum(length * n for length, n in pattern.items()) < window:
-            break
+            aside[first] = left.pop(first)
+            continue
         times = min(left[length] // n for length, n in pattern.items())
         offset = 0
         for length, n in sorted(pattern.items(), reverse=True):
@@ -79,9 +83,9 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[in
                 del left[length]
         sequence += times
     tail, position = [], 0
-    for length in sorted(left, reverse=True):
-        tail.append((length, taken[length], taken[length] + left[length], position))
-        position += length * left[length]
+    for length, n in sorted(aside.items(), reverse=True):
+        tail.append((length, taken[length], taken[length] + n, position))
+        position += length * n
     return runs, tail, sequence
 
 
@@ -115,9 +119,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
                 names=["part", "doc_id", "n", "rank", "full_before", "crcs", "rest_crc"],
             )
 
-    keyed = docs.withColumn("h", F.xxhash64("text"))
     schema = "part int, doc_id long, n long, rank long, full_before long, crcs array<long>, rest_crc long"
-    measured = stored(keyed.select("doc_id", "text").mapInArrow(measure, schema), "packing-lengths")
+    measured = stored(docs.mapInArrow(measure, schema), "packing-lengths")
     spark = measured.sparkSession
     sizes = measured.withColumn("rest", F.col("n") % window)
 
@@ -174,8 +177,11 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         return pieces
 
     # remainders that a window border cuts are encoded again for the checksums of their two pieces
-    cuts = rest.filter("cut").select("doc_id", "n", "rest_crc", "start", "sequence", "offset")
-    texts = docs.distinct().join(cuts.withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    cuts = rest.filter("cut").select(F.col("doc_id").alias("id"), "n", "rest_crc", "start", "sequence", "offset")
+    if sum(b - a for _, a, b, _ in tail) <= BROADCAST_ROWS:  # 48 bytes a row
+        cuts = F.broadcast(cuts)
+    texts = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["sequence", "offset", "h"]).drop("h")
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
