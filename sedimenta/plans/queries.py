@@ -162,13 +162,13 @@ def localstore_get_by_origin_name(s, d):
 
 # --- scans --------------------------------------------------------------------------------------------------
 _BINARY = lambda s, d: X.binarystore(s, d).withColumn("key", F.col("key").cast("binary"))
-_SHOWN = [F.col("key").cast("string").alias("key"), F.length("value").cast("long").alias("n")]
+_shown = lambda: [F.col("key").cast("string").alias("key"), F.length("value").cast("long").alias("n")]
 simple("scan_all", lambda s, d: X.settings(s, d).withColumn("key", F.col("key").cast("binary")).orderBy("key").select(F.col("key").cast("string").alias("key"), "value"), "SELECT key, value FROM settings ORDER BY key")
-simple("binary_all", lambda s, d: _BINARY(s, d).select(*_SHOWN), "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore")
-simple("binary_scan_prefix", lambda s, d: scans.scan_prefix(_BINARY(s, d), b"src1/").select(*_SHOWN), "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore WHERE starts_with(key, 'src1/')")
-simple("scan_with_predicate", lambda s, d: scans.scan_where(scans.scan_prefix(_BINARY(s, d), b"src1"), [F.length("value") > 2000, F.col("value").contains("the")]).select(*_SHOWN),
+simple("binary_all", lambda s, d: _BINARY(s, d).select(*_shown()), "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore")
+simple("binary_scan_prefix", lambda s, d: scans.scan_prefix(_BINARY(s, d), b"src1/").select(*_shown()), "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore WHERE starts_with(key, 'src1/')")
+simple("scan_with_predicate", lambda s, d: scans.scan_where(scans.scan_prefix(_BINARY(s, d), b"src1"), [F.length("value") > 2000, F.col("value").contains("the")]).select(*_shown()),
        "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore WHERE starts_with(key, 'src1') AND length(value) > 2000 AND contains(value, 'the')")
-simple("streaming_iter", lambda s, d: s.createDataFrame(((r.key, r.n) for r in _BINARY(s, d).orderBy("key").select(*_SHOWN).toLocalIterator(prefetchPartitions=True)), "key string, n long"),
+simple("streaming_iter", lambda s, d: s.createDataFrame(((r.key, r.n) for r in _BINARY(s, d).orderBy("key").select(*_shown()).toLocalIterator(prefetchPartitions=True)), "key string, n long"),
        "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore")
 simple("cookies_by_domain", lambda s, d: scans.get(X.cookies(s, d), domain="NATION_2"), "SELECT * FROM cookies WHERE domain = 'NATION_2'")
 simple("cookies_all", X.cookies, "SELECT * FROM cookies")
