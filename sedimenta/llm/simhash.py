@@ -118,8 +118,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     )
 
 
-WIDE = 4  # 64-bit parts of a wide fingerprint: 32 positional bytes
-WIDE_APART = 62  # differing bits of 256: the mean at a similarity of 0.8 (39) and four standard deviations
+WIDE = 2  # 64-bit parts of a wide fingerprint: 16 positional bytes
+WIDE_SHINGLE = 2  # words; one changed word changes two of these, but five of the five-word shingles
+WIDE_APART = 27  # differing bits of 128: the mean at a similarity of 0.8 (12) and four and a half deviations
 
 
 def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
@@ -140,8 +141,8 @@ def _node(words: list[bytes]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, node, f0..f3``: a name for the text's words and its 256-bit SimHash; narrow."""
+def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
+    """``doc_id, node, f0, f1``: a name for the text's words and its 128-bit SimHash; narrow."""
     schema = "doc_id long, node long, " + ", ".join(f"f{k} long" for k in range(WIDE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +193,20 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id`` of every row: classes of texts whose shingle sets are at least ``similarity`` alike.
 
-    64 bits a few apart don't reach this far, so the fingerprint has 256: 32 positional bytes in four groups
-    of eight.  The index posts pairs of bytes of a group, so texts that share two bytes of a group meet; at a
-    similarity of 0.8 that fails for about one pair in a hundred.  A pair is tallied by its differing bits
+    64 bits a few apart don't reach this far, so the fingerprint has 128, of two-word shingles: 16 positional
+    bytes in four groups of four.  The index posts pairs of bytes of a group, so texts that share two bytes of
+    a group meet; at a similarity of 0.8 that fails for about two pairs in a hundred.  A pair is tallied by its differing bits
     and verified on its shingle sets.  First every text meets one pivot of each of its postings; then only
     texts that are still in different classes meet, so a crowd of copies isn't expanded into its pairs.
     Texts without words are one class.  Null, empty and repeated texts keep a row each.
     """
-    rows = cut(wide_fingerprints(docs, shingle))
+    rows = cut(wide_fingerprints(docs))
     fp = [f"f{k}" for k in range(WIDE)]
     heads = cut(rows.groupBy("node").agg(F.min("doc_id").alias("head"), *[F.first(f).alias(f) for f in fp]))
 
     keys, number = [], 0
     for k in range(WIDE):
-        for i, j in combinations(range(8), 2):
+        for i, j in [*combinations(range(4), 2), *combinations(range(4, 8), 2)]:
             pair = F.expr(f"((f{k} >> {8 * i}) & 255) * 256 + ((f{k} >> {8 * j}) & 255)")
             keys.append(pair + F.lit(number << 16).cast("long"))
             number += 1
