@@ -109,17 +109,36 @@ class WordBPE:
 
 
 class _Chunks(dict):
-    """Of each chunk: ids in decimal, decoded text, number of ids."""
+    """Of each chunk: ids in decimal, decoded text, number of ids.
+
+    Two generations bound the memory: what was used since the last turn-over survives the next one.
+    """
 
     def __init__(self, model: WordBPE):
         super().__init__()
         self.model = model
+        self.old: dict[str, tuple[str, str, int]] = {}
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [b for b in range(256) if b not in visible]
+        self.alphabet = {b: chr(b) for b in visible} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+    def _ids(self, chunk: str) -> list[int]:
+        """Latin-1 letters with marks after them need neither the file's normaliser nor its splitting rule."""
+        word = chunk.rstrip(".,;:!?")
+        if word.isalpha() and (word.isascii() or max(word) < "Ā" and "ª" not in word and "º" not in word):
+            ids = self.model.word(word.lower().encode().decode("latin-1").translate(self.alphabet))
+            return ids + self.model.word(chunk[len(word) :]) if len(word) < len(chunk) else ids
+        return self.model.encode(chunk)
 
     def __missing__(self, chunk: str) -> tuple[str, str, int]:
-        ids = self.model.encode(chunk)
+        value = self.old.get(chunk)
+        if value is None:
+            ids = [i for line in chunk.split("\n") for i in self._ids(line)]
+            value = (" ".join(map(str, ids)), self.model.decode(ids), len(ids))
         if len(self) >= self.model.most:
+            self.old = dict(self)
             self.clear()
-        self[chunk] = value = (" ".join(map(str, ids)), self.model.decode(ids), len(ids))
+        self[chunk] = value
         return value
 
 
