@@ -15,6 +15,7 @@ gives the same components from 65 rows a fingerprint.  Every posting list takes
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -118,21 +119,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     )
 
 
-WIDE = 2  # 64-bit parts of a wide fingerprint: 16 positional bytes
-WIDE_SHINGLE = 2  # words; one changed word changes two of these, but five of the five-word shingles
-WIDE_APART = 27  # differing bits of 128: the mean at a similarity of 0.8 (12) and four and a half deviations
-
-
-def _mixed(hashes: np.ndarray, part: int) -> np.ndarray:
-    """Independent-looking hashes for part ``part``, from one hash a shingle."""
-    if not part:
-        return hashes
-    x = hashes + np.uint64(0x9E3779B97F4A7C15 * part & (1 << 64) - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _node(words: list[bytes]) -> int:
     """The signed 64-bit hash that names a text by its words."""
     from xxhash import xxh64_intdigest
@@ -141,23 +127,31 @@ def _node(words: list[bytes]) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int = WIDE_SHINGLE) -> DataFrame:
-    """``doc_id, node, f0, f1``: a name for the text's words and its 128-bit SimHash; narrow."""
-    schema = "doc_id long, node long, " + ", ".join(f"f{k} long" for k in range(WIDE))
+def _least(n: int, similarity: float) -> int:
+    """Shingles that a set of ``n`` has in common with any set at least ``similarity`` alike; never too many."""
+    return math.ceil(similarity * n - 1e-9)
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``doc_id, node, n, prefix``: a name for the text's words, its distinct shingles and the first of their hashes.
+
+    Two sets that are ``similarity`` alike share all but ``n - least`` of either's hashes, so the
+    ``n - least + 1`` smallest of one and of the other have one in common, whatever the texts are; narrow.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, parts = [], [[] for _ in range(WIDE)]
+            nodes, sizes, firsts = [], [], []
             for text in batch.column(1):
                 words = _words(text.as_py())
-                hashes = shingle_hashes(words, shingle)
+                hashes = np.unique(shingle_hashes(words, shingle).view(np.int64))
                 nodes.append(_node(words))
-                for k in range(WIDE):
-                    parts[k].append(majority(_mixed(hashes, k)))
-            columns = [np.array(nodes, dtype=np.int64), *(np.array(p, dtype=np.uint64).astype(np.int64) for p in parts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["doc_id", "node", *(f"f{k}" for k in range(WIDE))])
+                sizes.append(len(hashes))
+                firsts.append(hashes[: len(hashes) - _least(len(hashes), similarity) + 1])
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "prefix"])
 
-    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, schema)
+    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
 
 
 def _shingle_sets(docs: DataFrame, shingle: int, wanted: dict[int, bytes]) -> DataFrame:
@@ -193,39 +187,44 @@ def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id`` of every row: classes of texts whose shingle sets are at least ``similarity`` alike.
 
-    64 bits a few apart don't reach this far, so the fingerprint has 128, of two-word shingles: 16 positional
-    bytes in four groups of four.  The index posts pairs of bytes of a group, so texts that share two bytes of
-    a group meet; at a similarity of 0.8 that fails for about two pairs in a hundred.  A pair is tallied by its differing bits
-    and verified on its shingle sets.  First every text meets one pivot of each of its postings; then only
-    texts that are still in different classes meet, so a crowd of copies isn't expanded into its pairs.
+    Texts are posted under the hashes of their prefix (see :func:`prefixes`), so every such pair meets; no pair
+    is lost.  First every text meets one pivot of each of its postings; then only texts that are still in
+    different classes meet, so a crowd of copies isn't expanded into its pairs.  Those are tallied by the
+    hashes that their prefixes share: of two prefixes the one that ends first holds all common hashes up to its
+    end, and beyond it at most the rest of its text's can be common.  What the tally allows is verified.
     Texts without words are one class.  Null, empty and repeated texts keep a row each.
     """
-    rows = cut(wide_fingerprints(docs))
-    fp = [f"f{k}" for k in range(WIDE)]
-    heads = cut(rows.groupBy("node").agg(F.min("doc_id").alias("head"), *[F.first(f).alias(f) for f in fp]))
-
-    keys, number = [], 0
-    for k in range(WIDE):
-        for i, j in [*combinations(range(4), 2), *combinations(range(4, 8), 2)]:
-            pair = F.expr(f"((f{k} >> {8 * i}) & 255) * 256 + ((f{k} >> {8 * j}) & 255)")
-            keys.append(pair + F.lit(number << 16).cast("long"))
-            number += 1
-    postings = heads.select("node", F.explode(F.array(*keys)).alias("key"), *fp)
-    side = lambda df, s: df.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("node", *fp)])
-    apart = sum((F.bit_count(F.col(f"a_{f}").bitwiseXOR(F.col(f"b_{f}"))) for f in fp), F.lit(0))
-
-    # one pivot a posting, another one in each
-    pivot = postings.groupBy("key").agg(F.min_by(F.struct("node", *fp), F.xxhash64("node", "key")).alias("p"), F.min("node").alias("x"), F.max("node").alias("y"))
-    pivot = pivot.filter("x <> y").select("key", "p.*")
-    met = side(postings, "a").join(side(pivot, "b"), "key").filter("a_node <> b_node").filter(apart <= WIDE_APART)
-    pairs = cut(met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct())
+    rows = stored(prefixes(docs, shingle, similarity), "prefixes")
+    heads = stored(rows.groupBy("node").agg(F.min("doc_id").alias("head"), F.first(F.struct("n", "prefix")).alias("s")).select("node", "head", "s.*"), "heads")
+    sizes = heads.select("node", "n", F.size("prefix").alias("held"), F.element_at("prefix", -1).alias("end")).filter("n > 0")
+
+    # keys of one text only are of no use; the smallest node of a key is its pivot
+    postings = heads.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    pivot = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot <> top").select("key", "pivot")
+    shared = stored(postings.join(pivot, "key"), "shared-postings")
+
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}" if c != "node" else s) for c in df.columns])
+    sized = lambda pairs: pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
+    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
+    common = F.ceil((F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9)  # hashes a pair must share
+
+    pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = cut(sized(pairs).filter(alike).select("a", "b"))
     edges = cut(_verified(docs, pairs, shingle, similarity))
     classes = connected_components(edges).select(F.col("v").alias("node"), "component")
 
-    named = heads.join(classes, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component", "head")
-    left = lambda s: side_of(named, keys, fp, s)
-    crossed = left("a").join(left("b"), "key").filter("a_node < b_node and a_c <> b_c").filter(apart <= WIDE_APART)
-    crossed = crossed.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct()
+    named = shared.join(classes, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
+    named = cut(named.join(mixed, "key"))
+    left = lambda s: named.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "at", "c")])
+    met = left("a").join(left("b"), "key").filter("a < b and a_c <> b_c").filter(alike)
+    # the first common hash leaves room for all the others
+    room = F.max(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))).alias("room")
+    tallied = sized(met.groupBy("a", "b").agg(F.count("*").alias("shared"), room))
+    rest = F.when(F.col("a_end") < F.col("b_end"), F.col("a_n") - F.col("a_held")).when(
+        F.col("a_end") > F.col("b_end"), F.col("b_n") - F.col("b_held")
+    ).otherwise(F.least(F.col("a_n") - F.col("a_held"), F.col("b_n") - F.col("b_held")))
+    crossed = tallied.filter((F.col("room") >= common) & (F.col("shared") + rest >= common)).select("a", "b")
     crossed = cut(crossed.join(pairs, ["a", "b"], "left_anti"))
     edges = edges.unionByName(_verified(docs, crossed, shingle, similarity))
 
@@ -235,12 +234,6 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     return rows.select("doc_id", "node").join(placed.join(first, "c").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def side_of(named: DataFrame, keys: list, fp: list[str], s: str) -> DataFrame:
-    """Postings of nodes with their class, columns marked with ``s``."""
-    rows = named.select("node", "c", F.explode(F.array(*keys)).alias("key"), *fp)
-    return rows.select("key", *[F.col(x).alias(f"{s}_{x}") for x in ("node", "c", *fp)])
-
-
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class (see :func:`similar_documents`), unchanged.
 

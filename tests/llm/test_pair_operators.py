@@ -104,6 +104,43 @@ def test_similar_documents(spark, documents, odd, empty):
     assert simhash.similar_documents(empty).count() == 0
 
 
+def _pairs_of_edited_texts(edit, n=120):
+    """Pairs of texts of their own vocabulary, at least 0.8 alike, far from all others: (rows, mean similarity)."""
+    rng = random.Random(21)
+    rows, alike = [], []
+    while len(rows) < 2 * n:
+        words = [f"{len(rows)}w{rng.randrange(10**6)}" for _ in range(300)]
+        other = edit(rng, list(words))
+        a, b = shingles(" ".join(words)), shingles(" ".join(other))
+        similarity = len(a & b) / len(a | b)
+        if 0.8 <= similarity < 1:
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+            alike.append(similarity)
+    return rows, sum(alike) / len(alike)
+
+
+def _appended(rng, words):
+    return words + [f"new{rng.randrange(10**6)}" for _ in range(rng.randint(60, 74))]
+
+
+def _truncated(rng, words):
+    return words[: rng.randint(242, 250)]
+
+
+def _block(rng, words):
+    at, size = rng.randint(0, 250), rng.randint(20, 28)
+    words[at : at + size] = [f"new{rng.randrange(10**6)}" for _ in range(size)]
+    return words
+
+
+@pytest.mark.parametrize("edit", [_appended, _truncated, _block])
+def test_similar_documents_of_contiguous_edits(spark, edit):
+    rows, mean = _pairs_of_edited_texts(edit)
+    assert 0.8 <= mean < 0.9
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.similar_documents(df).collect()) == [(d, d - d % 2) for d, _ in rows]
+
+
 @pytest.mark.parametrize("hot", [2, 64, 100_000])
 def test_links_by_both_ways(spark, hot):
     rng = random.Random(hot)
