@@ -141,6 +141,16 @@ def test_similar_documents_of_contiguous_edits(spark, edit):
     assert sorted(tuple(r) for r in simhash.similar_documents(df).collect()) == [(d, d - d % 2) for d, _ in rows]
 
 
+def test_similar_documents_that_repeat_a_passage(spark):
+    rng = random.Random(22)
+    rows = []
+    for times in (2, 4, 8) * 20:
+        words = [f"{len(rows)}w{rng.randrange(10**6)}" for _ in range(300)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words + words[100:130] * times))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.similar_documents(df).collect()) == [(d, d - d % 2) for d, _ in rows]
+
+
 @pytest.mark.parametrize("hot", [2, 64, 100_000])
 def test_links_by_both_ways(spark, hot):
     rng = random.Random(hot)
