@@ -2,16 +2,17 @@
 
 Equal vectors of a label are one node.  The first neighbour graph comes from blocks of a few random
 hyperplane codes; each round then joins, at every node, its neighbours with each other (neighbours of
-neighbours, both directions) and keeps every node's nearest ones.  A node whose list holds only links is
-saturated: its list may be too short, so lists are enlarged to everything reachable over links, and those
-nodes are compared in full, block by block, inside their component.  Links are pairs at or above the
-threshold, found in double precision.  An audit compares a bounded sample of nodes with all rows and asks
-for another round while recall is under ``TARGET``.
+neighbours, both directions) and keeps every node's nearest ones.  Links are pairs at or above the threshold,
+found in double precision; a comparison also gives the links that connect all it found linked, whether or not
+a list has room for them.  A node whose list holds only links is saturated: its list goes on with neighbours
+outside its component, until those end below the threshold, and its component is compared in full, block by
+block.  An audit compares bounded samples of nodes, those with few links apart, with all rows and asks for
+another round, with new codes, while recall is under ``TARGET``.
 """
 
 from __future__ import annotations
 
-import math
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ THRESHOLD = 0.93
 NEIGHBOURS = 8
 TABLES = 4
 BLOCK = 256
-ROUNDS = 4  # at most
+ROUNDS = 4  # without a new link, at most
 AUDITED = 192  # nodes in an audit
 TARGET = 0.99
 SEED = 7
@@ -59,6 +60,23 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int, each: Callable[[pa.Table
         yield from each(pa.Table.from_batches(held))
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that connect all that the symmetric boolean matrix connects; fewer than it has rows."""
+    fresh = near.any(axis=1)
+    i, j = [], []
+    for root in range(len(near)):
+        front = [root] if fresh[root] else []
+        fresh[root] = False
+        while front:
+            at = front.pop()
+            found = np.flatnonzero(near[at] & fresh).tolist()
+            fresh[found] = False
+            i += [at] * len(found)
+            j += found
+            front += found
+    return np.array(i, dtype=np.int64), np.array(j, dtype=np.int64)
+
+
 def _pairs_schema() -> str:
     return "u long, v long, sim double"
 
@@ -85,8 +103,11 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.dropDuplicates(["u", "v"]).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("u", "v", "sim")
 
 
-def first_graph(nodes: DataFrame, k: int, tables: int = TABLES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """Nearest neighbours inside blocks of random hyperplane codes; labels and dimensions don't mix."""
+def first_graph(nodes: DataFrame, k: int, threshold: float, tables: int = TABLES, block: int = BLOCK, seed: int = SEED) -> DataFrame:
+    """Pairs inside blocks of random hyperplane codes: each node's nearest of another ``home``, and connecting links.
+
+    Labels and dimensions don't mix.
+    """
     sizes = nodes.groupBy("label", F.size("vec").alias("dim")).agg(F.count("*").alias("size"))
     sized = nodes.withColumn("dim", F.size("vec")).join(sizes, ["label", "dim"])
 
@@ -101,51 +122,57 @@ def first_graph(nodes: DataFrame, k: int, tables: int = TABLES, block: int = BLO
                     planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), 40))
                     signs = (x @ planes) > 0
                     code = (signs * (np.arange(40)[None, :] < bits[:, None])) @ (1 << np.arange(40, dtype=np.int64))
-                    out.append(pd.DataFrame({"label": part["label"].astype("int64"), "dim": int(dim), "t": t, "code": code, "node": part["node"], "vec": part["vec"]}))
+                    out.append(pd.DataFrame({"label": part["label"].astype("int64"), "dim": int(dim), "t": t, "code": code, "node": part["node"], "home": part["home"], "vec": part["vec"]}))
             if out:
                 yield from pa.Table.from_pandas(pd.concat(out), preserve_index=False, schema=pa.schema(
-                    [("label", pa.int64()), ("dim", pa.int32()), ("t", pa.int32()), ("code", pa.int64()), ("node", pa.int64()), ("vec", pa.list_(pa.float64()))]
+                    [("label", pa.int64()), ("dim", pa.int32()), ("t", pa.int32()), ("code", pa.int64()), ("node", pa.int64()), ("home", pa.int64()), ("vec", pa.list_(pa.float64()))]
                 )).to_batches()
 
-    coded = sized.select(F.col("label").cast("long"), "dim", "size", "node", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
-        codes, "label long, dim int, t int, code long, node long, vec array<double>"
+    coded = sized.select(F.col("label").cast("long"), "dim", "size", "node", "home", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
+        codes, "label long, dim int, t int, code long, node long, home long, vec array<double>"
     )
     # a crowded code is dealt into parts of about the block's size
     counts = coded.groupBy("label", "dim", "t", "code").agg(F.ceil(F.count("*") / block).alias("parts"))
     keys = ["label", "dim", "t", "code"]
     dealt = coded.join(counts, keys).withColumn("part", F.pmod(F.xxhash64("node", F.lit(seed)), F.col("parts")))
-    dealt = dealt.select(F.xxhash64(*keys, "part").alias("block"), "t", "label", "node", "vec")
+    dealt = dealt.select(F.xxhash64(*keys, "part").alias("block"), "t", "label", "node", "home", "vec")
 
     def inside(run: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids = run["node"].to_numpy()
+        ids, homes = run["node"].to_numpy(), run["home"].to_numpy()
         if len(ids) < 2:
             return
         x = _unit(run["vec"].to_pylist())
+        near = np.zeros((len(ids), len(ids)), dtype=bool)
         for at in range(0, len(ids), 2 * BLOCK):
             s = x[at : at + 2 * BLOCK] @ x.T
-            rows = np.arange(len(s))
-            s[rows, at + rows] = -2
+            s[homes[at : at + 2 * BLOCK, None] == homes[None, :]] = -2
+            near[at : at + 2 * BLOCK] = s >= threshold
             top = np.argpartition(-s, min(k, s.shape[1] - 1) - 1, axis=1)[:, :k]
             sims = np.take_along_axis(s, top, axis=1)
             u = np.repeat(ids[at : at + 2 * BLOCK], top.shape[1])
             keep = sims.ravel() > -2
             yield _emit(u[keep], ids[top].ravel()[keep], sims.ravel()[keep])
+        i, j = _forest(near | near.T)
+        yield _emit(ids[i], ids[j], (x[i] * x[j]).sum(axis=1).clip(threshold))
 
     ordered = dealt.repartition("block").sortWithinPartitions("block", "t", "label")
-    found = ordered.select("block", "t", "label", "node", "vec").mapInArrow(lambda b: _runs(b, 3, inside), _pairs_schema())
-    return _nearest(found, k)
+    found = ordered.select("block", "t", "label", "node", "home", "vec").mapInArrow(lambda b: _runs(b, 3, inside), _pairs_schema())
+    return found
+
 
+def descend(nodes: DataFrame, graph: DataFrame, lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """One round: at every node, compare its neighbours in ``graph`` (out and in) of different ``home`` with each other.
 
-def descend(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """One round: at every node, compare its neighbours (out and in) with each other; keep the nearest."""
+    Gives the pairs nearer than the worst of u's ``lists``, and links that connect all that are linked.
+    """
     # in-lists are as long as the out-lists; the nearest holders come first
     w = Window.partitionBy("v").orderBy(F.desc("sim"), "u")
     incoming = graph.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= 2 * k).select(F.col("v").alias("at"), F.col("u").alias("node"))
     members = graph.select(F.col("u").alias("at"), F.col("v").alias("node")).unionByName(incoming).distinct()
-    worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
+    worst = lists.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
     worst = worst.select(F.col("u").alias("node"), F.when(F.col("n") < k, F.lit(-2.0)).otherwise(F.col("worst")).alias("worst"))
-    about = nodes.select("node", F.col("vec").cast("array<double>").alias("vec")).join(worst, "node", "left")
-    met = members.join(about, "node").select("at", "node", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vec")
+    about = nodes.select("node", "home", F.col("vec").cast("array<double>").alias("vec")).join(worst, "node", "left")
+    met = members.join(about, "node").select("at", "node", "home", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vec")
 
     def inside(run: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, worst_of = run["node"].to_numpy(), run["worst"].to_numpy()
@@ -153,13 +180,19 @@ def descend(nodes: DataFrame, graph: DataFrame, k: int) -> DataFrame:
             return
         x = _unit(run["vec"].to_pylist())
         s = x @ x.T
-        np.fill_diagonal(s, -2)
+        homes = run["home"].to_numpy()
+        s[homes[:, None] == homes[None, :]] = -2
         i, j = np.nonzero(s > worst_of[:, None])
+        near = s >= threshold
+        p, q = _forest(near | near.T)
+        i, j = np.r_[i, p], np.r_[j, q]
         if len(i):
-            yield _emit(ids[i], ids[j], s[i, j])
+            sims = s[i, j]
+            sims[len(i) - len(p) :] = sims[len(i) - len(p) :].clip(threshold)
+            yield _emit(ids[i], ids[j], sims)
 
     found = met.repartition("at").sortWithinPartitions("at").mapInArrow(lambda b: _runs(b, 1, inside), _pairs_schema())
-    return _nearest(graph.unionByName(found), k)
+    return found
 
 
 def links_of(graph: DataFrame, threshold: float) -> DataFrame:
@@ -168,13 +201,38 @@ def links_of(graph: DataFrame, threshold: float) -> DataFrame:
     return near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).filter("a < b").distinct()
 
 
-def counted(nodes: DataFrame, graph: DataFrame, threshold: float, k: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(node, n) numbers of linked vectors of other nodes, and (v, component), with saturated lists enlarged."""
-    links = cut(links_of(graph, threshold))
-    components = connected_components(links)
+def saturated(graph: DataFrame, threshold: float, k: int) -> DataFrame:
+    """``v`` of the nodes whose list is full and holds only links."""
     full = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count("*").alias("n"))
-    full = full.filter((F.col("n") >= k) & (F.col("worst") >= threshold)).select(F.col("u").alias("v"))
-    crowded = cut(components.join(full, "v").select("component").distinct())
+    return full.filter((F.col("n") >= k) & (F.col("worst") >= threshold)).select(F.col("u").alias("v"))
+
+
+def crossing(nodes: DataFrame, graph: DataFrame, links: DataFrame, threshold: float, k: int, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(links, components) with the lists of saturated nodes gone on with, outside their component.
+
+    Ends when none of those lists has a link: every link found here joins two components.
+    """
+    full = cut(saturated(graph, threshold, k))
+    while True:
+        components = connected_components(links)
+        home = components.join(full, "v").select(F.col("v").alias("node"), F.col("component").alias("home"))
+        apart = stored(nodes.drop("home").join(home, "node"), "saturated")
+        if apart.select("home").distinct().limit(2).count() < 2:
+            return links, components
+        first = cut(first_graph(apart, k, threshold, seed=seed))
+        lists = cut(_nearest(first, k))
+        found = descend(apart, graph.unionByName(lists).select("u", "v", "sim"), lists, k, threshold)
+        new = cut(links_of(first.unionByName(found), threshold))
+        if new.isEmpty():
+            return links, components
+        links, seed = cut(links.unionByName(new).distinct()), seed + 1
+
+
+def counted(
+    nodes: DataFrame, graph: DataFrame, links: DataFrame, components: DataFrame, threshold: float, k: int, block: int = BLOCK
+) -> DataFrame:
+    """(node, n) numbers of linked vectors of other nodes, with saturated lists enlarged to their components."""
+    crowded = cut(components.join(saturated(graph, threshold, k), "v").select("component").distinct())
     copies = nodes.select("node", "copies")
 
     # lists that aren't saturated hold all their links
@@ -204,7 +262,7 @@ def counted(nodes: DataFrame, graph: DataFrame, threshold: float, k: int, block:
 
     ordered = rows.repartition("task").sortWithinPartitions("task", "component", "i", "j").select("task", "component", "i", "j", "role", "node", "copies", "vec")
     crowd = ordered.mapInArrow(lambda b: _runs(b, 4, compare), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-    return plain.select("node", "n").unionByName(crowd.select("node", "n")), components
+    return plain.select("node", "n").unionByName(crowd.select("node", "n"))
 
 
 def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = AUDITED) -> float:
@@ -241,18 +299,35 @@ def near_duplicates(
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, label, embedding)``.
 
     Rows without a node (see :func:`nodes_of`) link with nothing.  Equal vectors of a label link with each
-    other.  ``n_links`` counts other rows; ``component_id`` is the smallest vec_id reachable.
+    other.  ``n_links`` counts other rows; ``component_id`` is the smallest vec_id reachable.  Rounds go on
+    while the audit's recall is under ``target``, until ``rounds`` of them in a row found no new link; the last
+    recall is logged, as a warning if it is under.
     """
     vectors = vectors.select("vec_id", "label", "embedding")
-    nodes = stored(nodes_of(vectors), "vectors")
-    graph = cut(first_graph(nodes, k))
-    graph = cut(descend(nodes, graph, k))
-    for left in range(rounds - 1, -1, -1):
-        numbers, components = counted(nodes, graph, threshold, k)
-        numbers = cut(numbers)
-        if not left or audit(nodes, numbers, threshold) >= target:
+    nodes = stored(nodes_of(vectors).withColumn("home", F.col("node")), "vectors")
+
+    def grown(graph: DataFrame | None, links: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        found = cut(found)
+        new = links_of(found, threshold)
+        if graph is None:
+            return cut(_nearest(found, k)), cut(new)
+        return cut(_nearest(graph.unionByName(found), k)), cut(links.unionByName(new).distinct())
+
+    graph, links = grown(None, None, first_graph(nodes, k, threshold))
+    graph, links = grown(graph, links, descend(nodes, graph, graph, k, threshold))
+    most, idle, seed = -1, 0, SEED
+    while True:
+        links, components = crossing(nodes, graph, links, threshold, k, seed)
+        numbers = cut(counted(nodes, graph, links, components, threshold, k))
+        recall = audit(nodes, numbers, threshold)
+        total = numbers.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        idle, most = (0, total) if total > most else (idle + 1, most)
+        if recall >= target or idle >= rounds:
             break
-        graph = cut(descend(nodes, graph, k))
+        seed += 1
+        found = first_graph(nodes, k, threshold, seed=seed).unionByName(descend(nodes, graph, graph, k, threshold))
+        graph, links = grown(graph, links, found)
+    logging.getLogger(__name__).log(logging.INFO if recall >= target else logging.WARNING, "recall of the last audit %.4f, asked for %.4f", recall, target)
     classes = (
         nodes.join(numbers, "node", "left").join(components.withColumnRenamed("v", "node"), "node", "left")
         .select("label", F.col("vec").alias("embedding"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("c"))

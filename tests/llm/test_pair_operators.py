@@ -295,6 +295,21 @@ def test_vectors_of_the_table(spark):
     assert len(got) == len(expected) and len(got & expected) >= 0.99 * len(expected)
 
 
+def linked_clusters(rng, clusters=6, copies=12, dim=32):
+    """Near copies around centres that are about 0.95 alike."""
+    q = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+    centres = [0.975 * q[0] + 0.222 * q[1 + c] for c in range(clusters)]
+    return [(i, 0, (centres[i % clusters] + 0.002 * rng.standard_normal(dim)).astype("f4").tolist()) for i in range(clusters * copies)]
+
+
+def test_vectors_of_linked_clusters(spark):
+    rows = linked_clusters(np.random.default_rng(6))
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    expected = set(brute_vectors(rows))
+    assert {r[2] for r in expected} == {0} and min(r[1] for r in expected) == 71
+    assert {tuple(r) for r in embeddings.near_duplicates(df).collect()} == expected
+
+
 def test_fold():
     assert toxicity.fold("An 1D10T,  а fооl！") == " an idiot a fool "
     assert toxicity.fold(None) == toxicity.fold("") == toxicity.fold(" .,") == " "
