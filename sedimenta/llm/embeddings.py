@@ -28,7 +28,8 @@ NEIGHBOURS = 8
 TABLES = 4
 BLOCK = 256
 ROUNDS = 4  # without a new link, at most
-AUDITED = 192  # nodes in an audit
+AUDITED = 192  # nodes with at least NEIGHBOURS links in an audit
+FEW_AUDITED = 2048  # nodes with fewer links in an audit, most of them with none
 TARGET = 0.99
 SEED = 7
 
@@ -265,9 +266,15 @@ def counted(
     return plain.select("node", "n").unionByName(crowd.select("node", "n"))
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = AUDITED) -> float:
-    """Share of the true links of a bounded sample of nodes that ``found(node, n)`` has; 1.0 if they have none."""
-    held = nodes.orderBy(F.xxhash64("node", F.lit(SEED)), "node").limit(sample).select("node", "label", "vec").collect()
+def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = AUDITED, few: int = FEW_AUDITED, k: int = NEIGHBOURS) -> float:
+    """Mean share of a node's true links that ``found(node, n)`` has, over bounded samples of nodes that have any.
+
+    Nodes found with ``k`` links or more and those with fewer are sampled apart, and the lesser of the two means
+    counts, so that a crowd can't outvote lone pairs; 1.0 if no sampled node has links.
+    """
+    known = nodes.select("node", "label", "vec").join(found.select("node", "n"), "node", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    order = (F.xxhash64("node", F.lit(SEED)), "node")
+    held = known.filter(F.col("n") >= k).orderBy(*order).limit(sample).collect() + known.filter(F.col("n") < k).orderBy(*order).limit(few).collect()
     if not held:
         return 1.0
     by_label: dict = {}
@@ -280,17 +287,21 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, sample: int = AU
             ids, sums = [], []
             frame = batch.to_pandas()
             for key, part in frame.groupby(["label", frame["vec"].map(len)]):
-                if key in queries:
+                for at in range(0, len(part) if key in queries else 0, 1024):  # bounded memory
+                    rows = part.iloc[at : at + 1024]
                     names, q = queries[key]
-                    near = (q @ _unit(part["vec"].tolist()).T >= threshold) & (names[:, None] != part["node"].to_numpy()[None, :])
+                    near = (q @ _unit(rows["vec"].tolist()).T >= threshold) & (names[:, None] != rows["node"].to_numpy()[None, :])
                     ids += names.tolist()
-                    sums += (near @ part["copies"].to_numpy()).tolist()
+                    sums += (near @ rows["copies"].to_numpy()).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sums, pa.int64())], names=["node", "true_n"])
 
     true = nodes.select("label", F.col("vec").cast("array<double>").alias("vec"), "node", "copies").mapInArrow(search, "node long, true_n long")
-    true = true.groupBy("node").agg(F.sum("true_n").alias("true_n"))
-    r = true.join(found, "node", "left").agg(F.sum("true_n").alias("t"), F.sum(F.coalesce("n", F.lit(0))).alias("f")).first()
-    return r.f / r.t if r.t else 1.0
+    true = {r.node: r.true_n for r in true.groupBy("node").agg(F.sum("true_n").alias("true_n")).collect()}
+    shares: dict[bool, list[float]] = {}
+    for r in held:
+        if true.get(r.node):
+            shares.setdefault(r.n >= k, []).append(min(1.0, r.n / true[r.node]))
+    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
 
 
 def near_duplicates(

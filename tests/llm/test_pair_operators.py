@@ -310,6 +310,20 @@ def test_vectors_of_linked_clusters(spark):
     assert {tuple(r) for r in embeddings.near_duplicates(df).collect()} == expected
 
 
+def test_audit_sees_lone_pairs_beside_a_crowd(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(64)
+    rows = [(i, 0, (centre + 0.05 * rng.standard_normal(64)).tolist()) for i in range(200)]
+    for i in range(200, 400, 2):
+        v = rng.standard_normal(64)
+        rows += [(i, 0, v.tolist()), (i + 1, 0, (v + 0.05 * rng.standard_normal(64)).tolist())]
+    nodes = embeddings.nodes_of(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    n = {i: 199 if i < 200 else 1 for i in range(400)}
+    assert embeddings.audit(nodes, spark.createDataFrame(list(n.items()), "node long, n long"), embeddings.THRESHOLD) == 1.0
+    lost = [(i, x) for i, x in n.items() if i < 360]  # a fifth of the pairs
+    assert 0.7 < embeddings.audit(nodes, spark.createDataFrame(lost, "node long, n long"), embeddings.THRESHOLD) < 0.9
+
+
 def test_fold():
     assert toxicity.fold("An 1D10T,  а fооl！") == " an idiot a fool "
     assert toxicity.fold(None) == toxicity.fold("") == toxicity.fold(" .,") == " "
