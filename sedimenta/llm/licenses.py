@@ -1,10 +1,10 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
 Every file keeps the positions of the words that any license template uses.  Document frequencies of those
-words over all files give their rarity; a file looks up its rarest ones in the templates' positional
-postings, and postings that agree on the relative position (file position less template position) point to
-one placement of a template.  A placement counts if the template's mandatory key phrase stands there word
-for word; its score is the share of the template's words found at their places.
+words over all files give their rarity; a template is posted under the rarest word of its mandatory key phrase,
+and every place of that word in a file points to one placement of the template (file position less template
+position).  A placement counts if the key phrase stands there word for word, so none is missed; its score is
+the share of the template's words found at their places.
 
 All of it is per row (arrays and higher-order functions), with one small aggregate for the frequencies.
 """
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import own_columns, stored, table
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RAREST = 12  # words of a file that are looked up
-COMMON = 0.5  # words in a larger share of the files aren't rare
 
 # The phrases of the base labels
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
@@ -77,7 +75,7 @@ def _phrase_starts(hits: Column, phrase: str) -> Column:
     return F.transform(F.filter(hits, at), lambda h: h["i"])
 
 
-def scanned(docs: DataFrame, rarest: int = RAREST, common: float = COMMON) -> DataFrame:
+def scanned(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``; see the module's text.
 
     Null and empty texts have no words, labels '' and score 0.  Repeated rows and doc_ids keep a row each.
@@ -94,43 +92,24 @@ def scanned(docs: DataFrame, rarest: int = RAREST, common: float = COMMON) -> Da
     # at most one row for each word of the vocabulary
     seen = base.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     df = {r.w: r.df for r in seen.collect()}
-    n = base.count()
-    order = {w: k for k, w in enumerate(sorted(df, key=lambda w: (df[w], w))) if df[w] <= max(common * n, 1)}
 
     hits = F.col("hits")
     starts = [(label, _phrase_starts(hits, phrase)) for label, phrase in BASE]
     base = base.withColumns({f"at_{label}": s for label, s in starts})
     every = F.concat(*[F.col(f"at_{label}") for label, _ in starts])
 
-    if order:
-        rank = F.create_map(*[F.lit(x) for w, k in order.items() for x in (w, k)])
-        present = F.array_distinct(F.transform("hits", lambda h: h["w"]))
-        ranked = F.array_sort(F.filter(F.transform(present, lambda w: rank[w]), lambda r: r.isNotNull()))
-        top = F.slice(ranked, 1, rarest)
-        base = base.withColumn("top", F.when(F.size("hits") > 0, top).otherwise(F.array().cast("array<int>")))
-        base = base.withColumn("rare", F.filter("hits", lambda h: F.array_contains(F.col("top"), F.coalesce(rank[h["w"]], F.lit(-1)))))
-    else:
-        base = base.withColumn("rare", F.filter("hits", lambda h: F.lit(False)))
-
-    # per template: placements its rare words point to, those with the key phrase, and the best share of its words
+    # per template: placements its key phrase's rarest word points to, those with the key phrase, and the best share of its words
     columns = {}
     for t, (label, notice, phrase) in enumerate(TEMPLATES):
         words, key = notice.split(), phrase.split()
         kept = [(p, w) for p, w in enumerate(words) if w in vocabulary]
         key_at = next(p for p in range(len(words)) if words[p : p + len(key)] == key)
-        postings = {}
-        for p, w in kept:
-            if w in order:
-                postings.setdefault(w, []).append(p)
-        if not postings:
+        if not all(w in df for w in key):  # in no file
             columns[f"score_{t}"] = F.lit(0.0)
             continue
-        own = F.filter("rare", lambda h: h["w"].isin(list(postings)))
-        places = F.array_distinct(
-            F.flatten(
-                F.transform(own, lambda h: F.transform(_case(h["w"], postings), lambda p: h["i"] - p))
-            )
-        )
+        ahead = min(range(len(key)), key=lambda k: (df[key[k]], k))
+        own = F.filter("hits", lambda h: h["w"] == key[ahead])
+        places = F.transform(own, lambda h: h["i"] - (key_at + ahead))
 
         def verified(s: Column) -> Column:
             found = F.lit(True)
@@ -143,7 +122,7 @@ def scanned(docs: DataFrame, rarest: int = RAREST, common: float = COMMON) -> Da
             return found / F.lit(float(len(kept)))
 
         best = F.array_max(F.transform(F.filter(places, verified), share))
-        columns[f"score_{t}"] = F.when(F.size("rare") > 0, F.coalesce(best, F.lit(0.0))).otherwise(F.lit(0.0))
+        columns[f"score_{t}"] = F.coalesce(best, F.lit(0.0))
     base = base.withColumns(columns)
 
     own_base = [F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label, _ in BASE]
@@ -161,15 +140,6 @@ def scanned(docs: DataFrame, rarest: int = RAREST, common: float = COMMON) -> Da
     )
 
 
-def _case(word: Column, postings: dict[str, list[int]]) -> Column:
-    """Template positions of the word, from the index."""
-    out = None
-    for w, positions in postings.items():
-        found = F.array(*[F.lit(p) for p in positions])
-        out = F.when(word == w, found) if out is None else out.when(word == w, found)
-    return out
-
-
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License scan of the whole ``documents`` table."""
     return scanned(table(spark, sf_dir, "documents"))

@@ -207,6 +207,14 @@ def test_licenses(spark, documents, odd, empty):
     assert licenses.scanned(empty).count() == 0
 
 
+def test_every_notice_counts_however_many_or_common(spark):
+    every = ". ".join(notice for _, notice, _ in licenses.TEMPLATES)
+    rows = [(i, "some prose. all rights reserved. more prose") for i in range(20)] + [(20, every), (21, "plain prose")]
+    got = {r.doc_id: r for r in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[20].labels == ",".join(sorted({label for label, _, _ in licenses.TEMPLATES}))
+    assert all(got[i].labels == "proprietary" and got[i].score == 1.0 for i in range(20)) and got[21].labels == ""
+
+
 def test_license_scan_is_native(documents):
     plan = licenses.scanned(documents)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
