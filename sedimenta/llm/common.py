@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,16 @@ def own_columns(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
 
 
+SLICE_ROWS = 512
+
+
+def sliced(batches: Iterator, rows: int = SLICE_ROWS) -> Iterator:
+    """The same rows in record batches of ``rows`` at most, so that a worker holds few texts at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def with_text_column(docs: DataFrame, name: str, ddl: str, prepare) -> DataFrame:
     """``docs`` with a column computed from its texts, batch by batch; narrow.
 
@@ -63,7 +74,7 @@ def with_text_column(docs: DataFrame, name: str, ddl: str, prepare) -> DataFrame
 
     def run(batches):
         values_of = prepare()
-        for batch in batches:
+        for batch in sliced(batches):
             values = values_of(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, arrow)], names=[*batch.schema.names, name])
 
@@ -97,6 +108,17 @@ def may_hold(held: dict[int, bytes], name: int) -> bool:
     return bool(page and page[(at & 32767) >> 3] >> (at & 7) & 1)
 
 
+def may_hold_each(held: dict[int, bytes], names):
+    """:func:`may_hold` of every number of an array, as booleans."""
+    import numpy as np
+
+    bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
+    for page, part in held.items():
+        bits[page << 12 : (page << 12) + len(part)] = np.frombuffer(part, np.uint8)
+    at = names & ((1 << FILTER_BITS) - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest vertex reachable from every vertex of ``edges(a, b)``; returns ``(v, component)``.
 

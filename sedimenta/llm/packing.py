@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import own_columns, stored, table
+from sedimenta.llm.common import own_columns, sliced, stored, table
 from sedimenta.llm.token_ids import encoder, tokenizer_path
 
 WINDOW = 2048
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
         encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
         rank: Counter = Counter()
         n_full = 0
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[list] = [[] for _ in range(7)]
             for doc_id, ids in zip(batch.column(0).to_pylist(), (encode(t.as_py()) for t in batch.column(1))):
                 raw = memoryview(ids + end)
@@ -185,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for row in batch.to_pylist():
                 raw = memoryview(encode(row["text"]) + end)

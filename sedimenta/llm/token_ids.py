@@ -19,6 +19,8 @@ _BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _MARKS = ".,;:!?"
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 SLICE = 2 << 20  # characters
+CACHE_BYTES = 96 << 20  # of a worker, whatever the input
+ENTRY = 200  # bytes of a dictionary's entry, its key and its value beside their contents
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,12 +39,13 @@ def _byte_alphabet() -> dict[int, str]:
 class _Chunks(dict):
     """Ids (little-endian unsigned 32-bit) of chunks behind one lead; ``None`` for chunks that can't stand alone.
 
-    Two generations bound the memory: what was used since the last turn-over survives the next one.
+    Two generations bound the memory to about ``most`` bytes: what was used since the last turn-over survives
+    the next one.
     """
 
     def __init__(self, whole, piece, lead: str, most: int):
         super().__init__()
-        self.whole, self.piece, self.lead, self.most = whole, piece, lead, most // 2
+        self.whole, self.piece, self.lead, self.most, self.held = whole, piece, lead, most // 2, 0
         self.old: dict[str, bytes | None] = {}
 
     def __missing__(self, chunk: str) -> bytes | None:
@@ -56,9 +59,11 @@ class _Chunks(dict):
                 ids = None
             else:
                 ids = self.whole(self.lead + chunk)
-        if len(self) >= self.most:
+        self.held += ENTRY + len(chunk.encode()) + len(ids or b"")
+        if self.held > self.most:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         self[chunk] = ids
         return ids
 
@@ -66,7 +71,7 @@ class _Chunks(dict):
 class ChunkEncoder:
     """Gives the ids the tokenizers library gives, as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, most: int = 1_500_000):
+    def __init__(self, path: str, most: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -134,7 +139,7 @@ class ChunkEncoder:
         return b"".join(out)
 
 
-def encoder(path: str, most: int = 1_500_000) -> ChunkEncoder:
+def encoder(path: str, most: int = CACHE_BYTES) -> ChunkEncoder:
     """One encoder for each worker process and tokenizer file."""
     key = (path, most)
     if key not in _ENCODERS:
