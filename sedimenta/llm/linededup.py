@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import connected_components, cut, id_filter, may_hold, own_columns, stored, table
+from sedimenta.llm.common import connected_components, cut, free_name, id_filter, may_hold, may_hold_each, own_columns, sliced, stored, table
 
 EDITS = 2
 SHORT = 20  # characters; shorter lines are matched exactly only
+BLANKS = " \t\n\x0b\x0c\r"  # a line of these alone has no word
+SEEN = 100_000  # lines a task remembers at least, so as not to post them again
 MEDIUM = 40  # characters; lines under this may differ by one edit, longer ones by EDITS
 
 
@@ -120,36 +122,47 @@ def _signature(line: str) -> tuple[int, int]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, line_no, id, len, low, high`` of every line with a word (lines are split at line feeds)."""
-    schema = "doc_id long, line_no int, id long, len int, low long, high long"
+    """``doc_id, row, line_no, id, len, low, high`` of every line with a word (lines are split at line feeds).
+
+    ``row`` is a hash of the whole text, so that rows with the same doc_id aren't taken for each other.
+    """
+    schema = "doc_id long, row long, line_no int, id long, len int, low long, high long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 for k, line in enumerate((text.as_py() or "").split("\n")):
-                    if line and not line.isspace():
-                        rows.append((doc_id, k, _line_id(line.encode("utf-8", "surrogatepass")), len(line), *_signature(line)))
-            columns = list(zip(*rows)) or [[]] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                    if line.strip(BLANKS):
+                        rows.append((doc_id, row, k, _line_id(line.encode("utf-8", "surrogatepass")), len(line), *_signature(line)))
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, schema)
+    rows = own_columns(docs, doc_id="doc_id", text="text").select("doc_id", F.xxhash64("text").alias("row"), "text")
+    return rows.mapInArrow(run, schema)
 
 
-def postings_of(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``key, id, own``: own segments and probes of every line of at least ``SHORT`` characters, once a batch and line."""
+def postings_of(docs: DataFrame, edits: int = EDITS, wanted: dict[int, bytes] | None = None) -> DataFrame:
+    """``key, id, own``: own segments and probes of every line of at least ``SHORT`` characters.
+
+    A task posts a line once, or again if it has forgotten it.  With an id filter ``wanted`` only keys that it
+    lets pass are given.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
         plans: dict[int, list] = {}
-        for batch in batches:
-            keys, ids, own, seen = [], [], [], set()
+        seen: set[int] = set()
+        for batch in sliced(batches):
+            keys, ids, own = [], [], []
+            if len(seen) > SEEN:
+                seen.clear()
             for text in batch.column(1):
                 for line in (text.as_py() or "").split("\n"):
                     n = len(line)
-                    if n < SHORT or line.isspace():
+                    if n < SHORT or not line.strip(BLANKS):
                         continue
                     raw = line.encode("utf-8", "surrogatepass")
                     name = _line_id(raw)
@@ -165,9 +178,11 @@ def postings_of(docs: DataFrame, edits: int = EDITS) -> DataFrame:
                         keys.append(xxh3_64_intdigest(part, seed))
                         ids.append(name)
                         own.append(mine)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(own, pa.bool_())], names=["key", "id", "own"]
-            )
+            columns = [np.array(keys, dtype=np.uint64).view(np.int64), np.array(ids, dtype=np.int64), np.array(own, dtype=bool)]
+            if wanted is not None:
+                passing = may_hold_each(wanted, columns[0])
+                columns = [c[passing] for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "own"])
 
     return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "key long, id long, own boolean")
 
@@ -176,7 +191,7 @@ def _texts(docs: DataFrame, wanted: dict[int, bytes]) -> DataFrame:
     """``id, line`` of the distinct lines that the id filter ``wanted`` lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = {}
             for text in batch.column(1):
                 for line in (text.as_py() or "").split("\n"):
@@ -203,14 +218,15 @@ def _counts_apart() -> F.Column:
 def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFrame:
     """``a, b`` (a < b) of distinct lines within the allowed edits; ``lines`` as from :func:`lines_of`."""
     # a key matters if two lines use it and one of them posts it
-    uses = postings_of(docs, edits)
-    several = (
-        uses.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or("own").alias("posted"))
+    several = cut(
+        postings_of(docs, edits).groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.bool_or("own").alias("posted"))
         .filter("posted and first <> last").select("key")
     )
+    uses = postings_of(docs, edits, id_filter(several.select(F.col("key").alias("id"))))
     met = uses.join(several, "key").groupBy("key", "id").agg(F.bool_or("own").alias("own"))
-    about = lines.filter(F.col("len") >= SHORT).groupBy("id").agg(*[F.first(c).alias(c) for c in ("len", "low", "high")])
-    met = cut(met.join(about, "id"))
+    # a name that different lines share, rare as it is, takes no part: such lines are only matched exactly
+    about = lines.filter(F.col("len") >= SHORT).groupBy("id").agg(F.min(F.struct("len", "low", "high")).alias("x"), F.max(F.struct("len", "low", "high")).alias("y"))
+    met = cut(met.join(about.filter("x = y").select("id", "x.*"), "id"))
 
     side = lambda rows, s: rows.select("key", *[F.col(c).alias(f"{s}_{c}") for c in ("id", "len", "low", "high")])
     posted, every = side(met.filter("own"), "a"), side(met, "b").withColumn("b_own", F.lit(True))
@@ -237,52 +253,66 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFra
     return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
-    """One row for each line with a word: its place, its class, its number of links, and whether it is the first.
+NAME = ["id", "len", "low", "high"]  # a line's hash, length and character counts name it
 
-    ``doc_id, line_no`` name the line; ``class_doc_id, class_line_no`` name the first line (smallest pair) of
-    its class: equal lines and all lines reachable over links.  ``n_links`` counts other distinct lines
-    within the allowed edits.  ``kept`` is true for the class's first line.  Null texts and blank lines give
-    no rows; rows that share a doc_id and line number share their fate if their lines are equal.
-    """
+
+def _classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """As :func:`line_classes`, with each line's ``row`` (see :func:`lines_of`)."""
     lines = stored(lines_of(docs), "lines")
     links = cut(line_links(docs, lines, edits))
     components = connected_components(links)
     degree = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
-    place = F.struct("doc_id", "line_no")
-    heads = lines.groupBy("id").agg(F.min(place).alias("head"))
-    classes = heads.join(components.withColumnRenamed("v", "id"), "id", "left").select("id", "head", F.coalesce("component", "id").alias("c"))
-    linked = components.select(F.col("v").alias("id"), F.col("component").alias("c")).join(heads, "id")
+    place = F.struct("doc_id", "line_no", "row")
+    heads = lines.groupBy(*NAME).agg(F.min(place).alias("head"))
+    classes = heads.join(components.withColumnRenamed("v", "id"), "id", "left").withColumnRenamed("component", "c")
+    linked = classes.filter("c is not null")
     firsts = linked.groupBy("c").agg(F.min("head").alias("first"))
     classes = cut(
         classes.join(firsts, "c", "left").join(degree.withColumnRenamed("v", "id"), "id", "left")
-        .select("id", F.coalesce("first", "head").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select(*NAME, F.coalesce("first", "head").alias("first"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    return lines.join(classes, "id").select(
-        "doc_id", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", "len",
-        (F.col("first") == place).alias("kept"),
+    return lines.join(classes, NAME).select(
+        "doc_id", "row", "line_no", F.col("first.doc_id").alias("class_doc_id"), F.col("first.line_no").alias("class_line_no"), "n_links", "len",
+        F.col("first").eqNullSafe(place).alias("kept"),
     )
 
 
+def line_classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """One row for each line with a word: its place, its class, its number of links, and whether it is the first.
+
+    ``doc_id, line_no`` name the line; ``class_doc_id, class_line_no`` name the first line (smallest pair, null
+    doc_ids first, then by a hash of the row's text) of its class: equal lines and all lines reachable over
+    links.  ``n_links`` counts other distinct lines within the allowed edits.  ``kept`` is true for the class's
+    first line.  Null texts, blank lines and empty tables give no rows; only rows equal in both doc_id and text
+    share their fate.
+    """
+    return _classes(docs, edits).drop("row")
+
+
 def without_repeated_lines(docs: DataFrame, shortest: int = SHORT) -> DataFrame:
     """``docs`` with only the first line of each class; blank lines and lines under ``shortest`` characters stay.
 
-    All columns keep their names and order; a document that loses every line keeps its row with an empty
-    text, and null texts stay null.
+    All columns keep their names and order, whatever they are called; a document that loses every line keeps
+    its row with an empty text, and null texts stay null.  Lines go by row: rows that share a doc_id lose only
+    their own lines, and rows equal in doc_id and text lose the same ones.  An empty table stays empty.
     """
-    classes = line_classes(docs).withColumn("kept", F.col("kept") | (F.col("len") < shortest))
-    gone = classes.filter("not kept").groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__gone_id")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone_id")), "left")
+    taken: list[str] = []
+    for name in ("gone_id", "gone_row", "gone", "flags", "row"):
+        taken.append(free_name(docs, name))
+    gone_id, gone_row, gone, flags, row = taken
+    dropped = _classes(docs).filter(~F.col("kept") & (F.col("len") >= shortest))
+    dropped = dropped.groupBy(F.col("doc_id").alias(gone_id), F.col("row").alias(gone_row)).agg(F.sort_array(F.collect_set("line_no")).alias(gone))
+    joined = docs.withColumn(row, F.xxhash64("text"))
+    joined = joined.join(dropped, F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.col(row) == F.col(gone_row)), "left")
     lines = F.split("text", "\n", -1)
     # one letter a line, so that a document of many lines needs no search for each of them
-    flags = F.aggregate("__gone", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+    letters = F.aggregate(gone, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
         lambda s, g: F.struct((g + 1).alias("at"), F.concat(s["out"], F.array(F.repeat(F.lit("k"), g - s["at"]))).alias("out")),
         lambda s: F.array_join(s["out"], "d"),
     )
-    joined = joined.withColumn("__flags", F.concat(flags, F.lit("d")))
-    stays = F.filter(lines, lambda x, i: F.substring("__flags", i + 1, F.lit(1)) != "d")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    joined = joined.withColumn(flags, F.concat(letters, F.lit("d")))
+    stays = F.filter(lines, lambda x, i: F.substring(F.col(flags), i + 1, F.lit(1)) != "d")
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
     return joined.withColumn("text", text).select(*docs.columns)
 
 
