@@ -1,16 +1,21 @@
 """License scan by a positional index of rare words, in DataFrame functions only.
 
-Every file keeps the positions of the words that any license template uses.  Document frequencies of those
-words over all files give their rarity; a template is posted under the rarest word of its mandatory key phrase,
-and every place of that word in a file points to one placement of the template (file position less template
-position).  A placement counts if the key phrase stands there word for word, so none is missed; its score is
-the share of the template's words found at their places.
-
-All of it is per row (arrays and higher-order functions), with one small aggregate for the frequencies.
+Templates are license names, notices and the sentences of license texts.  Every file keeps the positions of the
+words that any template uses; document frequencies of those words over all files give their rarity.  A template
+counts at a placement (file position less template position) where at least ``SHARE`` of its words stand at
+their places and its mandatory key phrase stands word for word.
+
+Such a placement holds at least one of the template's rarest words, of as many as it may lack and one more.  So
+a file looks up its rarest license words first; only if one of them is posted are the postings of all its
+license words intersected: every posting of a word at a position names a template and a placement, and equal
+names are counted.  Rarity decides what is looked up, never what is found.  All of it is per row, with one
+small aggregate for the frequencies.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,19 +26,28 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The phrases of the base labels
 BASE = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
 
-# License notices as they are commonly written (label, notice, mandatory key phrase)
+# License names, notices and sentences as they are commonly written (label, words, mandatory key phrase)
 TEMPLATES = (
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "copies or substantial portions"),
     ("apache", "licensed under the apache license version 2 0", "apache license"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance"),
+    ("apache", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind", "as is basis"),
     ("gpl", "licensed under the gnu general public license version 3", "general public license"),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license as published"),
+    ("lgpl", "gnu lesser general public license", "lesser general public license"),
     ("lgpl", "licensed under the gnu lesser general public license version 3", "lesser general public license"),
+    ("agpl", "gnu affero general public license", "affero general public license"),
     ("agpl", "licensed under the gnu affero general public license version 3", "affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "binary forms"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", "binary form must reproduce"),
     ("bsd", "released under the bsd license", "bsd license"),
     ("mpl", "subject to the terms of the mozilla public license version 2 0", "mozilla public license"),
     ("epl", "available under the terms of the eclipse public license version 2 0", "eclipse public license"),
     ("isc", "released under the isc license", "isc license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
     ("cc-by", "licensed under cc by 4 0", "cc by"),
     ("cc-by", "licensed under a creative commons attribution license", "creative commons attribution"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
@@ -43,6 +57,8 @@ TEMPLATES = (
     ("proprietary", "confidential and proprietary do not distribute", "confidential and proprietary"),
 )
 
+SHARE = 0.7  # of a template's words must stand at their places
+
 # Words too frequent in English prose to be kept with their positions, key phrases apart
 STOP = frozenset("the of is to a this or in with are do not use and any on by".split())
 
@@ -75,59 +91,88 @@ def _phrase_starts(hits: Column, phrase: str) -> Column:
     return F.transform(F.filter(hits, at), lambda h: h["i"])
 
 
+def _templates() -> list[tuple[str, list[tuple[int, str]], list[tuple[int, str]], int]]:
+    """(label, indexed words with their places, the key phrase's words with theirs, least number of words) of each template."""
+    vocabulary, out = set(_vocabulary()), []
+    for label, notice, phrase in TEMPLATES:
+        words, key = notice.split(), phrase.split()
+        at = next(p for p in range(len(words)) if words[p : p + len(key)] == key)
+        indexed = [(p, w) for p, w in enumerate(words) if w in vocabulary]
+        out.append((label, indexed, [(at + k, w) for k, w in enumerate(key)], math.ceil(SHARE * len(indexed) - 1e-9)))
+    return out
+
+
+# a placement's name: the template's number, then the file position less the template's (which may be negative)
+_TEMPLATE, _ORIGIN = 1 << 40, 1 << 20
+
+
+def _index(postings: dict[str, list[int]]) -> Column:
+    """A map literal from words to their postings."""
+    return F.create_map(*[x for w, names in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.lit(n).cast("long") for n in names]))])
+
+
+def _named(hits: Column, index: Column) -> Column:
+    """Names of the placements that the hits' postings point to."""
+    return F.flatten(F.transform(hits, lambda h: F.transform(F.element_at(index, h["w"]), lambda v: v + h["i"])))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs(doc_id, text)``; see the module's text.
 
-    Null and empty texts have no words, labels '' and score 0.  Repeated rows and doc_ids keep a row each.
-    Labels are distinct, sorted and comma-joined.
+    Null and empty texts have no words, labels '' and score 0.  Repeated rows and doc_ids keep a row each; an
+    empty table gives no rows.  Labels are distinct, sorted and comma-joined; the score is the largest share of
+    a template's words at a placement that counts.
     """
-    vocabulary = _vocabulary()
-    base = own_columns(docs, doc_id="doc_id", text="text")
-    # frequent words only matter inside key phrases; all others are kept with their positions
-    numbered = F.transform(words_of(F.col("text")), lambda w, i: F.struct(i.alias("i"), w.alias("w")))
-    base = base.select("doc_id", numbered.alias("words"))
-    base = base.select("doc_id", F.size("words").cast("long").alias("n_words"), F.filter("words", lambda x: x["w"].isin(vocabulary)).alias("hits"))
-    base = stored(base, "license-words")
+    vocabulary, templates = _vocabulary(), _templates()
+    base = own_columns(docs, doc_id="doc_id", text="text").select("doc_id", words_of(F.col("text")).alias("words"))
+    # positions of license words first, as plain numbers; only those get a struct
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(vocabulary), i).otherwise(-1)), lambda i: i >= 0)
+    base = base.select("doc_id", F.size("words").cast("long").alias("n_words"), "words", places.alias("places"))
+    hits = F.transform("places", lambda i: F.struct(i.alias("i"), F.get("words", i).alias("w")))
+    base = stored(base.select("doc_id", "n_words", hits.alias("hits")), "license-words")
 
     # at most one row for each word of the vocabulary
     seen = base.select(F.explode(F.array_distinct(F.transform("hits", lambda h: h["w"]))).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     df = {r.w: r.df for r in seen.collect()}
 
-    hits = F.col("hits")
-    starts = [(label, _phrase_starts(hits, phrase)) for label, phrase in BASE]
+    starts = [(label, _phrase_starts(F.col("hits"), phrase)) for label, phrase in BASE]
     base = base.withColumns({f"at_{label}": s for label, s in starts})
     every = F.concat(*[F.col(f"at_{label}") for label, _ in starts])
 
-    # per template: placements its key phrase's rarest word points to, those with the key phrase, and the best share of its words
-    columns = {}
-    for t, (label, notice, phrase) in enumerate(TEMPLATES):
-        words, key = notice.split(), phrase.split()
-        kept = [(p, w) for p, w in enumerate(words) if w in vocabulary]
-        key_at = next(p for p in range(len(words)) if words[p : p + len(key)] == key)
-        if not all(w in df for w in key):  # in no file
-            columns[f"score_{t}"] = F.lit(0.0)
-            continue
-        ahead = min(range(len(key)), key=lambda k: (df[key[k]], k))
-        own = F.filter("hits", lambda h: h["w"] == key[ahead])
-        places = F.transform(own, lambda h: h["i"] - (key_at + ahead))
-
-        def verified(s: Column) -> Column:
-            found = F.lit(True)
-            for k, w in enumerate(key):
-                found = found & _has(F.col("hits"), s + key_at + k, w)
-            return found
-
-        def share(s: Column) -> Column:
-            found = sum((F.when(_has(F.col("hits"), s + p, w), 1).otherwise(0) for p, w in kept), F.lit(0))
-            return found / F.lit(float(len(kept)))
-
-        best = F.array_max(F.transform(F.filter(places, verified), share))
-        columns[f"score_{t}"] = F.coalesce(best, F.lit(0.0))
-    base = base.withColumns(columns)
-
-    own_base = [F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label, _ in BASE]
-    own_labels = [F.when(F.col(f"score_{t}") > 0, F.lit(label)) for t, (label, _, _) in enumerate(TEMPLATES)]
-    joined = lambda xs: F.concat_ws(",", F.array_sort(F.array_distinct(F.array_compact(F.array(*xs)))))
+    whole: dict[str, list[int]] = {}
+    rare: dict[str, list[int]] = {}
+    for t, (_, indexed, _, least) in enumerate(templates):
+        rarest = sorted(indexed, key=lambda x: (df.get(x[1], 0), x))[: len(indexed) - least + 1]
+        for p, w in indexed:
+            whole.setdefault(w, []).append(t * _TEMPLATE + _ORIGIN - p)
+        for p, w in rarest:
+            rare.setdefault(w, []).append(t * _TEMPLATE + _ORIGIN - p)
+    looked_up = F.filter("hits", lambda h: h["w"].isin(sorted(rare)))
+    none = F.array().cast("array<bigint>")
+    base = base.withColumn("names", F.when(F.size(looked_up) > 0, F.sort_array(_named(F.col("hits"), _index(whole)))).otherwise(none))
+
+    # equal names stand together: a run as long as the template asks for is a placement
+    run_starts = F.filter(F.sequence(F.lit(1), F.size("names")), lambda k: (k == 1) | (F.get("names", k - 1) != F.get("names", k - 2)))
+    base = base.withColumn("starts", F.when(F.size("names") > 0, run_starts).otherwise(F.array().cast("array<int>")))
+    size_of = lambda k: F.coalesce(F.get("starts", k + 1), F.size("names") + 1) - F.get("starts", k)
+    runs = F.transform("starts", lambda a, k: F.struct(
+        F.shiftright(F.get("names", a - 1), 40).cast("int").alias("t"),
+        (F.get("names", a - 1).bitwiseAND(_TEMPLATE - 1) - _ORIGIN).cast("int").alias("at"),
+        size_of(k).alias("n"),
+    ))
+    least = F.array(*[F.lit(least) for *_, least in templates])
+    base = base.withColumn("runs", F.filter(runs, lambda r: r["n"] >= F.get(least, r["t"])))
+
+    # what is left is verified and scored
+    phrases = F.array(*[F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in key]) for _, _, key, _ in templates])
+    stands = lambda r: F.forall(F.get(phrases, r["t"]), lambda x: F.array_contains(F.col("hits"), F.struct((r["at"] + x["o"]).alias("i"), x["w"].alias("w"))))
+    base = base.withColumn("found", F.filter("runs", stands))
+    labels = F.array(*[F.lit(label) for label, *_ in templates])
+    sizes = F.array(*[F.lit(float(len(indexed))) for _, indexed, *_ in templates])
+
+    own_base = F.array_compact(F.array(*[F.when(F.size(f"at_{label}") > 0, F.lit(label)) for label, _ in BASE]))
+    own_labels = F.transform("found", lambda r: F.get(labels, r["t"]))
+    joined = lambda xs: F.concat_ws(",", F.array_sort(F.array_distinct(xs)))
     return base.select(
         "doc_id",
         "n_words",
@@ -135,8 +180,8 @@ def scanned(docs: DataFrame) -> DataFrame:
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         joined(own_base).alias("base_labels"),
-        joined([*own_base, *own_labels]).alias("labels"),
-        F.greatest(*[F.col(f"score_{t}") for t in range(len(TEMPLATES))]).alias("score"),
+        joined(F.concat(own_base, own_labels)).alias("labels"),
+        F.coalesce(F.array_max(F.transform("found", lambda r: r["n"] / F.get(sizes, r["t"]))), F.lit(0.0)).alias("score"),
     )
 
 
@@ -146,17 +191,15 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """The same in SQL: a template counts at every place of its key phrase (whose words are rare)."""
-    vocabulary = set(_vocabulary())
+    """The same in SQL: a template counts at a place of its key phrase if enough of its words stand at theirs."""
     places = lambda words: f"list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f'w[i + {k}] = {chr(39)}{x}{chr(39)}' for k, x in enumerate(words))})"
     starts = ", ".join(f"{places(p.split())} AS at_{label}" for label, p in BASE)
     scores = []
-    for t, (_, notice, phrase) in enumerate(TEMPLATES):
-        words, key = notice.split(), phrase.split()
-        key_at = next(p for p in range(len(words)) if words[p : p + len(key)] == key)
-        kept = [(p - key_at, x) for p, x in enumerate(words) if x in vocabulary]
-        found = " + ".join(f"CASE WHEN i + {o} >= 1 AND w[i + {o}] = '{x}' THEN 1 ELSE 0 END" for o, x in kept)
-        scores.append(f"coalesce(list_max(list_transform({places(key)}, lambda i: ({found}) / CAST({len(kept)} AS DOUBLE))), 0.0) AS s{t}")
+    for t, (_, indexed, key, least) in enumerate(_templates()):
+        at = key[0][0]
+        found = " + ".join(f"CASE WHEN i + {p - at} >= 1 AND w[i + {p - at}] = '{x}' THEN 1 ELSE 0 END" for p, x in indexed)
+        counts = f"list_filter(list_transform({places([x for _, x in key])}, lambda i: {found}), lambda n: n >= {least})"
+        scores.append(f"coalesce(list_max({counts}) / CAST({len(indexed)} AS DOUBLE), 0.0) AS s{t}")
     labels = ", ".join(f"CASE WHEN s{t} > 0 THEN '{label}' END" for t, (label, _, _) in enumerate(TEMPLATES))
     base = ", ".join(f"CASE WHEN len(at_{label}) > 0 THEN '{label}' END" for label, _ in BASE)
     every = " || ".join(f"at_{label}" for label, _ in BASE)
