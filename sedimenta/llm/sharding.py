@@ -1,10 +1,11 @@
 """Shuffled shards by a two-pass external shuffle.
 
-Pass one scatters every record into one of many memory-sized buckets by a seeded hash of its identity, so a
-bucket's size doesn't depend on hot sources or keys.  Pass two loads one bucket at a time, applies a seeded
-Fisher-Yates shuffle and writes it.  Buckets follow each other, so a record's global place is the count of
-the buckets before it plus its place inside, and shards are equal runs of global places: the law is ``rows``,
-any two shards differ by at most one record.
+Pass one scatters every record into one of many memory-sized buckets by a seeded hash of its identity; further
+copies of a record inside an input partition are told apart by their number, so that a bucket's size doesn't
+depend on hot sources, keys or copies.  Pass two loads one bucket at a time, applies a seeded Fisher-Yates
+shuffle and writes it.  Buckets follow each other, so a record's global place is the count of the buckets before
+it plus its place inside, and shards are equal runs of global places: the law is ``rows``, any two shards differ
+by at most one record.
 """
 
 from __future__ import annotations
@@ -14,10 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from sedimenta.llm.common import own_columns, shared_dir, table
+from sedimenta.llm.common import own_columns, shared_dir, sliced, stored, table
 
 SEED = 20240601
 BUCKET_BYTES = 24 << 20
@@ -33,22 +36,50 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return order
 
 
+def scattered(rows: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """``rows``, whose last column ``h`` names a record, with a ``bucket``: by ``h``, further copies also by a number.
+
+    The first of equal records in an input partition goes by its name alone, the k-th by partition and k.
+    Equal records can stand in for each other, so the buckets of a partition don't depend on the order of its
+    rows.  A task remembers the names of its partition (about 100 bytes a row).
+    """
+    names = [*rows.columns, "copy"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}
+        part = (TaskContext.get().partitionId() + 1) << 32
+        for batch in sliced(batches):
+            copies = []
+            for h in batch.column(batch.num_columns - 1).to_pylist():
+                k = seen[h] = seen.get(h, -1) + 1
+                copies.append(part + k if k else 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.int64())], names=names)
+
+    rows = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("copy", LongType())]))
+    by_name, by_copy = F.xxhash64("h", F.lit(seed)), F.xxhash64("h", F.lit(seed), "copy")
+    return rows.withColumn("bucket", F.pmod(F.when(F.col("copy") == 0, by_name).otherwise(by_copy), F.lit(buckets)).cast("int"))
+
+
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> None:
     """Write ``docs(doc_id, text)`` as Parquet under ``path`` with columns bucket, place, doc_id, text, shard, slot.
 
     A bucket's records are put in order of (doc_id, hash of the text) before the shuffle, so the outcome
-    doesn't depend on arrival order and a lost task can run again.  Repeated rows are scattered like any
-    others; null texts stay null; an empty table writes no records.
+    doesn't depend on arrival order, copies apart, and a lost task can run again.  Of equal records a bucket
+    holds no more than one from each input partition, and others by chance.  The input is read twice in the same
+    partitions; one that comes from a shuffle is stored first.  Null texts stay null; null doc_ids are a value
+    like any other; an empty table writes no records.
     """
     spark = docs.sparkSession
-    rows = own_columns(docs, doc_id="doc_id", text="text").withColumn("h", F.xxhash64("doc_id", "text"))
+    docs = own_columns(docs, doc_id="doc_id", text="text")
+    if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():
+        docs = stored(docs, "shard-input")
+    rows = docs.withColumn("h", F.xxhash64("doc_id", "text"))
     size = docs.select(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("bytes")).first().bytes or 0
     buckets = max(1, -(-size // bucket_bytes))
-    scatter = F.pmod(F.xxhash64(F.col("h"), F.lit(seed)), F.lit(buckets)).cast("int")
-    rows = rows.withColumn("bucket", scatter)
 
     # one count a bucket; the number of buckets is the input over a constant
-    counts = {r.bucket: r.n for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    counts = {r.bucket: r.n for r in scattered(rows.select("h"), buckets, seed).groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    rows = scattered(rows, buckets, seed)
     starts, total = [], 0
     for b in range(buckets):
         starts.append((b, total))
@@ -82,7 +113,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = SEED,
         if held:
             yield from flush()
 
-    dealt = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "doc_id", "h").select("bucket", "doc_id", "text")
+    dealt = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "doc_id", "h").select("bucket", "doc_id", "text")
     placed = dealt.mapInArrow(shuffle, "bucket int, place long, doc_id long, text string")
     lookup = spark.createDataFrame(starts, "b int, before long")
     if buckets <= BROADCAST_BUCKETS:  # 12 bytes a bucket
