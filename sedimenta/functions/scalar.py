@@ -58,6 +58,28 @@ def little_endian(hash_hex: Column) -> Column:
     return F.unhex(F.array_join(pairs, ""))
 
 
+def _reversed_bytes(number: Column, digits: int) -> Column:
+    """A non-negative number as ``digits`` hex digits, lowest byte first."""
+    padded = F.lpad(F.hex(number), digits, "0")
+    return F.array_join(F.transform(F.sequence(F.lit(digits // 2 - 1), F.lit(0)), lambda i: F.substring(padded, i * 2 + 1, F.lit(2))), "")
+
+
+def blob_pointer(offset: Column, size: Column) -> Column:
+    """The twelve bytes of a pointer into the blobs: offset (64 bits) and size (32 bits), lowest byte first."""
+    return F.unhex(F.concat(_reversed_bytes(offset.cast("long"), 16), _reversed_bytes(size.cast("long"), 8)))
+
+
+def read_blob_pointer(pointer: Column) -> Column:
+    """``struct<offset, size>`` of a pointer; null if it has fewer than twelve bytes."""
+
+    def number(start: int, n: int) -> Column:
+        digits = F.hex(F.substring(pointer, start, n))
+        pairs = F.transform(F.sequence(F.lit(n - 1), F.lit(0)), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
+        return F.conv(F.array_join(pairs, ""), 16, -10).cast("long")
+
+    return F.when(F.octet_length(pointer) >= 12, F.struct(number(1, 8).alias("offset"), number(9, 4).alias("size")))
+
+
 def length_prefixed(text: Column) -> Column:
     """A string as the bytes of its length (64 bits, lowest first) and its UTF-8 bytes."""
     length = F.lpad(F.hex(F.octet_length(text).cast("long")), 16, "0")
@@ -66,8 +88,11 @@ def length_prefixed(text: Column) -> Column:
 
 
 def key_prefix(key: Column) -> Column:
-    """Up to and including the first colon, else the first eight bytes of an (ASCII) string key."""
-    return F.when(F.locate(":", key) > 0, F.substring(key, F.lit(1), F.locate(":", key))).otherwise(F.substring(key, 1, 8))
+    """The bytes up to and including the first colon, else the first eight bytes; a binary value."""
+    raw = key.cast("binary")
+    # a byte below 128 is a character of its own in UTF-8, so the colon's place is counted in bytes
+    at = F.length(F.substring_index(F.decode(raw, "ISO-8859-1"), ":", 1)) + 1
+    return F.when(at <= F.octet_length(raw), F.substring(raw, F.lit(1), at)).otherwise(F.substring(raw, 1, 8))
 
 
 def shard_of_key(key: Column, shards: int = 16) -> Column:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.functions.scalar import is_live
-
 MB = 1 << 20
 LEVEL_MB = (10, 100, 1000, 10_000, 100_000, 1_000_000)
 
@@ -37,9 +35,11 @@ def compaction_candidates(segments: DataFrame, max_level0_files: int = 4, sizes_
     return sizes.filter(due)
 
 
-def expired(log: DataFrame, now_ms: int) -> DataFrame:
-    return log.filter(~is_live(F.col("expires_at"), now_ms))
+LAST_LEVEL = 9
 
 
-def purged(log: DataFrame, now_ms: int) -> DataFrame:
-    return log.filter(is_live(F.col("expires_at"), now_ms))
+def level_due(level: int, files: int, size: int, max_level0_files: int = 4, sizes_mb: tuple[int, ...] = LEVEL_MB) -> bool:
+    """The same rule for one level's numbers."""
+    if level == 0:
+        return files >= max_level0_files
+    return size > sizes_mb[min(level, len(sizes_mb)) - 1] * MB

@@ -129,7 +129,7 @@ simple("binary_get", lambda s, d: scans.get(X.binarystore(s, d).withColumn("key"
 _LIMBS = "[{a}, {b}, {c}, {d}]"
 
 
-def _fnv_sql(column: str) -> str:
+def fnv_sql(column: str) -> str:
     """The hash of an ASCII column in DuckDB: limbs folded over a list, one list a byte."""
     a = "xor(s[1], x[1])"
     t0 = f"({a} * 315)"
@@ -143,10 +143,10 @@ def _fnv_sql(column: str) -> str:
     return f"(SELECT lower(concat(lpad(to_hex(z[4]), 8, '0'), lpad(to_hex(z[3]), 8, '0'), lpad(to_hex(z[2]), 8, '0'), lpad(to_hex(z[1]), 8, '0'))) FROM (SELECT {state} AS z))"
 
 
-simple("fnv1a128", lambda s, d: X.bookmarks(s, d).select("url", S.fnv1a128(F.col("url")).alias("url_hash")), f"SELECT url, {_fnv_sql('url')} AS url_hash FROM bookmarks")
+simple("fnv1a128", lambda s, d: X.bookmarks(s, d).select("url", S.fnv1a128(F.col("url")).alias("url_hash")), f"SELECT url, {fnv_sql('url')} AS url_hash FROM bookmarks")
 
 
-@query("history_title_lohi", f"SELECT title FROM history WHERE {_fnv_sql('url')} = (SELECT {_fnv_sql('url')} FROM history WHERE page_id = 3)")
+@query("history_title_lohi", f"SELECT title FROM history WHERE {fnv_sql('url')} = (SELECT {fnv_sql('url')} FROM history WHERE page_id = 3)")
 def history_title_lohi(s, d):
     rows = X.history(s, d).withColumn("url_hash", S.fnv1a128(F.col("url")))
     half = lambda at: F.conv(F.substring("url_hash", at, 16), 16, -10).cast("long")
@@ -168,8 +168,7 @@ simple("binary_all", lambda s, d: _BINARY(s, d).select(*_shown()), "SELECT key,
 simple("binary_scan_prefix", lambda s, d: scans.scan_prefix(_BINARY(s, d), b"src1/").select(*_shown()), "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore WHERE starts_with(key, 'src1/')")
 simple("scan_with_predicate", lambda s, d: scans.scan_where(scans.scan_prefix(_BINARY(s, d), b"src1"), [F.length("value") > 2000, F.col("value").contains("the")]).select(*_shown()),
        "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore WHERE starts_with(key, 'src1') AND length(value) > 2000 AND contains(value, 'the')")
-simple("streaming_iter", lambda s, d: s.createDataFrame(((r.key, r.n) for r in _BINARY(s, d).orderBy("key").select(*_shown()).toLocalIterator(prefetchPartitions=True)), "key string, n long"),
-       "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore")
+simple("streaming_iter", lambda s, d: _BINARY(s, d).orderBy("key").select(*_shown()), "SELECT key, CAST(length(value) AS BIGINT) AS n FROM binarystore")
 simple("cookies_by_domain", lambda s, d: scans.get(X.cookies(s, d), domain="NATION_2"), "SELECT * FROM cookies WHERE domain = 'NATION_2'")
 simple("cookies_all", X.cookies, "SELECT * FROM cookies")
 simple("bookmarks_all", X.bookmarks, "SELECT * FROM bookmarks")
@@ -260,7 +259,13 @@ def segment_heat(s, d):
     return H.of_segments(X.mutation_log(s, d).withColumn("segment", F.col("k") % 16), H.by_key(X.access_log(s, d)))
 
 
-@query("mode_roundtrip", f"SELECT {_fnv_sql('url')} AS url_hash, url, title, folder, created_at FROM bookmarks")
+simple("segment_heat_order", lambda s, d: H.coldest_first(H.of_segments(X.mutation_log(s, d).withColumn("segment", F.col("k") % 16), H.by_key(X.access_log(s, d)))).limit(5),
+       f"SELECT segment, CAST(sum(coalesce(heat, 0)) // greatest(count(*), 1) AS BIGINT) AS heat FROM (SELECT k % 16 AS segment, k FROM mutation_log) e LEFT JOIN ({_HEAT}) h USING (k) GROUP BY segment ORDER BY heat, segment LIMIT 5")
+simple("heat_evict_capacity", lambda s, d: H.evicted(H.by_key(X.access_log(s, d)), capacity=2, threshold=200).select("k", "heat", "shard"),
+       f"SELECT k, heat, shard FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY heat, k) AS r, count(*) OVER (PARTITION BY shard) AS held FROM (SELECT *, CAST({_BYTESUM} AS INTEGER) AS shard FROM ({_HEAT}))) WHERE r <= held - 2 AND heat < 200")
+
+
+@query("mode_roundtrip", f"SELECT {fnv_sql('url')} AS url_hash, url, title, folder, created_at FROM bookmarks")
 def mode_roundtrip(s, d):
     from sedimenta.sources.engine import PERSISTENT, ULTRA, Container
 
@@ -272,11 +277,24 @@ def mode_roundtrip(s, d):
 
 
 # --- scalars ------------------------------------------------------------------------------------------------
-simple("extract_prefix", lambda s, d: X.localstore(s, d).select("key", S.key_prefix(F.col("key")).alias("prefix"), S.key_prefix(F.col("origin")).alias("origin_prefix")),
+simple("extract_prefix", lambda s, d: X.localstore(s, d).select("key", S.key_prefix(F.col("key")).cast("string").alias("prefix"), S.key_prefix(F.col("origin")).cast("string").alias("origin_prefix")),
        "SELECT key, CASE WHEN contains(key, ':') THEN substr(key, 1, strpos(key, ':')) ELSE substr(key, 1, 8) END AS prefix, substr(origin, 1, 8) AS origin_prefix FROM localstore")
 simple("shard_of_key", lambda s, d: X.binarystore(s, d).select("key", S.shard_of_key(F.col("key")).alias("shard")), "SELECT key, CAST(ascii(key) % 16 AS INTEGER) AS shard FROM binarystore")
 simple("entry_size", lambda s, d: X.binarystore(s, d).select("key", S.entry_size(F.col("key"), F.col("value")).alias("size")), "SELECT key, CAST(strlen(key) + strlen(value) + 17 AS INTEGER) AS size FROM binarystore")
 simple("crc32_value", lambda s, d: X.binarystore(s, d).select("key", F.crc32(F.col("value").cast("binary")).alias("crc")), None)
-simple("container_slots", lambda s, d: X.settings(s, d).select("key", S.container_slot(F.col("key")).alias("slot")), f"SELECT key, CAST(('0x' || right({_fnv_sql('key')}, 1)) AS INTEGER) AS slot FROM settings")
+# the checksum's table follows from its reversed polynomial
+def _crc_table() -> list[int]:
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    return table
+
+
+_CRC = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT))), lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8))"
+simple("crc32_key", lambda s, d: X.binarystore(s, d).select("key", F.crc32(F.col("key").cast("binary")).alias("crc")),
+       f"SELECT key, CAST(xor({_CRC}, 4294967295) AS BIGINT) AS crc FROM binarystore, (SELECT CAST({_crc_table()} AS BIGINT[]) AS t)")
+simple("container_slots", lambda s, d: X.settings(s, d).select("key", S.container_slot(F.col("key")).alias("slot")), f"SELECT key, CAST(('0x' || right({fnv_sql('key')}, 1)) AS INTEGER) AS slot FROM settings")
 simple("valid_container_names", lambda s, d: X.settings(s, d).select("key", S.valid_container_name(F.col("key")).alias("key_ok"), S.valid_container_name(F.col("value")).alias("value_ok")),
        "SELECT key, regexp_full_match(key, '[A-Za-z0-9_-]+') AS key_ok, regexp_full_match(value, '[A-Za-z0-9_-]+') AS value_ok FROM settings")

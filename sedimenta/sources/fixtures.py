@@ -17,7 +17,11 @@ def _ms(column: str) -> Column:
 
 
 def mutation_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "events")
+    return mutations_of(_read(spark, sf_dir, "events"))
+
+
+def mutations_of(e: DataFrame) -> DataFrame:
+    """Events, a table or a stream of them, as mutations."""
     op = F.when(F.col("event_type") == "error", "del").when(F.col("event_type") == "purchase", "inc").otherwise("put")
     lives = (F.col("event_id") % 3 == 0) & ~F.col("event_type").isin("error", "purchase")
     return e.select(

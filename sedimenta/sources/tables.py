@@ -8,14 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.functions.scalar import has_prefix, is_live
+from sedimenta.functions.scalar import has_prefix, is_live, wrapped, wrapping_sum
 from sedimenta.operators import scans
+from sedimenta.operators.heat import HeatMap
+from sedimenta.operators.maintenance import LAST_LEVEL, level_due
 from sedimenta.operators.query import QueryBuilder
 from sedimenta.plans.resolve import newest
+from sedimenta.sources.config import Config
+from sedimenta.sources.logstore import MemoryLog
 from sedimenta.sources.schema import COOKIE_DEFAULTS, INDEXES, TABLES, Table
 
 Rows = dict | Iterable[dict] | DataFrame
@@ -24,17 +28,26 @@ Rows = dict | Iterable[dict] | DataFrame
 class LogTable:
     """What all tables share."""
 
-    def __init__(self, spark: SparkSession, schema: Table, log, clock: Callable[[], int]):
+    def __init__(self, spark: SparkSession, schema: Table, log, clock: Callable[[], int], config: Config | None = None, heat: HeatMap | None = None):
         self.spark, self.schema, self.log, self.clock = spark, schema, log, clock
+        self.config = config or Config()
+        self.heat = heat if heat is not None else HeatMap(self.config.heatmap)
+        self.extractors: dict[str, Column] = {}
 
     # writing
     def _frame(self, rows: Rows, columns: str) -> DataFrame:
         if isinstance(rows, DataFrame):
             return rows
         rows = [rows] if isinstance(rows, dict) else list(rows)
+        self._touch(rows, "write" if columns != self.schema.keys else "delete")
         kind = T._parse_datatype_string(columns)
         return self.spark.createDataFrame([tuple(r[f] for f in kind.names) for r in rows], kind)
 
+    def _touch(self, rows: Iterable[dict], kind: str) -> None:
+        """Heat of keys the driver has at hand; keys of a DataFrame aren't gathered for it."""
+        for r in rows:
+            self.heat.record((self.schema.name, *[r[k] for k in self.schema.key_names]), kind, self.clock() // 1000)
+
     def _append(self, rows: DataFrame, op: str, expires_at: int = 0, delta=None) -> None:
         """Rows of key and value columns (only keys for del and inc) as one batch, in their order."""
         self.log.append(self._mutations(rows, op, expires_at, delta))
@@ -65,9 +78,13 @@ class LogTable:
     def ordered(self) -> DataFrame:
         return self.log.read().withColumn("seq", F.struct("batch", "pos"))
 
+    def _fold(self, log: DataFrame, final: bool) -> DataFrame:
+        """One row a key that says the same as ``log`` (with ``seq``); ``final`` if nothing older lies elsewhere."""
+        return newest(log, self.schema.key_names)
+
     def resolved(self) -> DataFrame:
         """The newest row of every key with its op and expiry."""
-        return newest(self.ordered(), self.schema.key_names)
+        return self._fold(self.ordered(), True)
 
     def live(self) -> DataFrame:
         rows = self.resolved().filter(F.col("op") != "del").filter(is_live(F.col("expires_at"), self.clock()))
@@ -85,7 +102,8 @@ class LogTable:
         return scans.get(self.rows(), **key)
 
     def one(self, **key):
-        """The row, or None."""
+        """The row, or None; counts as a read of the key."""
+        self._touch([key], "read")
         return next(iter(self.find(**key).take(1)), None)
 
     def count(self) -> int:
@@ -106,6 +124,20 @@ class LogTable:
         finally:
             keys.unpersist()
 
+    # indexes of one's own
+    def add_index(self, name: str, extractor: Column) -> None:
+        """An index over live rows: ``extractor`` is an expression of the table's columns, null for rows it leaves out."""
+        self.extractors[name] = extractor
+
+    def index_entries(self, name: str) -> DataFrame:
+        """``index_key`` and the key columns of every indexed row."""
+        found = self.rows().select(self.extractors[name].alias("index_key"), *self.schema.key_names)
+        return found.filter("index_key is not null")
+
+    def by_index(self, name: str, value) -> DataFrame:
+        """Live rows whose derived key is ``value``."""
+        return self.rows().filter(self.extractors[name] == F.lit(value))
+
     # maintenance
     def compact(self, final: bool = True) -> None:
         """Rewrite the log with one row a key; at the last level tombstones and expired rows go."""
@@ -114,10 +146,35 @@ class LogTable:
             rows = rows.filter(F.col("op") != "del").filter(is_live(F.col("expires_at"), self.clock()))
         self.log.replace(rows)
 
+    def maintain(self) -> list[int]:
+        """Merge the levels that are due, from the top down, and tell which: a result goes to the next level, which
+        may make that one due.  Tombstones and expired rows go only with the merge that reaches everything."""
+        if isinstance(self.log, MemoryLog):
+            return []
+        done, lsm = [], self.config.lsm_tree
+        for level in range(LAST_LEVEL):
+            levels = self.log.levels()
+            held = levels.get(level, {})
+            if not level_due(level, len(held), sum(held.values()), lsm.max_level0_files, lsm.level_thresholds_mb):
+                continue
+            deeper = any(levels[x] for x in levels if x > level)
+            numbers = sorted(held)
+            rows = self._fold(self.log.read(numbers).withColumn("seq", F.struct("batch", "pos")), not deeper)
+            if not deeper:
+                rows = rows.filter(F.col("op") != "del").filter(is_live(F.col("expires_at"), self.clock()))
+            self.log.replace(rows, numbers, level + 1)
+            done.append(level)
+        return done
+
     def purge_expired(self) -> int:
-        """Drop rows whose newest version has expired and tell how many keys that were."""
+        """Drop rows whose newest version has expired and tell how many keys that were; memory is given back."""
         dead = self.resolved().filter((F.col("op") != "del") & ~is_live(F.col("expires_at"), self.clock()))
-        return self.remove_where(dead)
+        if not isinstance(self.log, MemoryLog):
+            return self.remove_where(dead)
+        n = dead.count()
+        if n:
+            self.compact()
+        return n
 
 
 class History(LogTable):
@@ -127,27 +184,33 @@ class History(LogTable):
     def insert_with_ttl(self, rows: Rows, ttl_ms: int) -> None:
         self.put(rows, ttl_ms)
 
-    def increment(self, url_hash: str, by: int = 1) -> None:
-        """Add to a row's visits; for an absent or deleted row this starts an empty one from 0."""
-        self._append(self._frame({"url_hash": url_hash}, "url_hash string"), "inc", delta=F.lit(by))
+    def increment(self, url_hash: str | DataFrame, by: int = 1) -> None:
+        """Add to visits, of one row or of all keys of a DataFrame; an absent or deleted row starts empty, from 0."""
+        keys = url_hash if isinstance(url_hash, DataFrame) else {"url_hash": url_hash}
+        self._append(self._frame(keys, "url_hash string"), "inc", delta=F.lit(by))
 
-    def resolved(self) -> DataFrame:
-        """As for every table, with newer increments added to ``visit_count``; the newest row's expiry counts."""
-        log = self.ordered()
+    def _fold(self, log: DataFrame, final: bool) -> DataFrame:
+        """As for every table, with newer increments added to ``visit_count``; the newest row's expiry counts.
+
+        Sums wrap around.  Without a base, increments stay one increment unless ``final``.  Bases are aggregated
+        first and joined back: both steps combine before their exchange, and a hot key is split like any skewed join.
+        """
         bases = log.filter(F.col("op") != "inc").groupBy("url_hash").agg(F.max("seq").alias("base"))
         rows = log.join(bases, "url_hash", "left").filter(F.col("base").isNull() | (F.col("seq") >= F.col("base")))
-        first = F.min_by(F.struct("op", "row"), "seq")
         folded = rows.groupBy("url_hash").agg(
-            first.alias("first"), F.max_by(F.struct("op", "ts_ms", "expires_at", "batch", "pos"), "seq").alias("last"), F.coalesce(F.sum("delta"), F.lit(0)).alias("added")
-        )
+            F.min_by(F.struct("op", "row"), "seq").alias("first"),
+            F.max_by(F.struct("op", "ts_ms", "expires_at", "batch", "pos"), "seq").alias("last"), F.coalesce(wrapping_sum(F.col("delta")), F.lit(0)).alias("added"),
+        )
         row = F.col("first.row")
+        visits = wrapped(F.coalesce(row["visit_count"], F.lit(0)).cast("decimal(38,0)") + F.col("added").cast("decimal(38,0)"))
         made = F.struct(
             F.coalesce(row["ts_ms"], F.lit(0)).alias("ts_ms"), F.coalesce(row["url"], F.lit("")).alias("url"), F.coalesce(row["title"], F.lit("")).alias("title"),
-            (F.coalesce(row["visit_count"], F.lit(0)) + F.col("added")).alias("visit_count"),
+            visits.alias("visit_count"),
         )
-        op = F.when(F.col("last.op") == "inc", "put").otherwise(F.col("last.op"))
+        loose = (F.col("first.op") == "inc") & F.lit(not final)  # its base, if any, lies deeper
+        op = F.when(loose, "inc").when(F.col("last.op") == "inc", "put").otherwise(F.col("last.op"))
         return folded.select(
-            "url_hash", op.alias("op"), F.when(op != "del", made).alias("row"), F.lit(None).cast("long").alias("delta"),
+            "url_hash", op.alias("op"), F.when(op == "put", made).alias("row"), F.when(loose, F.col("added")).alias("delta"),
             "last.ts_ms", "last.expires_at", "last.batch", "last.pos",
         )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,23 +17,20 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4)
     is_file = spark.read.parquet(path).select(F.input_file_name().alias("f")).first().f.rstrip("/").endswith("/events.parquet")
-    source = events.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if is_file else events.parquet(path)
-
-    class Streamed:
-        """Stands for the session where the fixtures read a table."""
+    return X.mutations_of(events.option("pathGlobFilter", "events.parquet").parquet(sf_dir) if is_file else events.parquet(path))
 
-        class read:  # noqa: N801
-            parquet = staticmethod(lambda _: source)
 
-    return X.mutation_log(Streamed, sf_dir)
+def _run(spark: SparkSession, view: DataFrame) -> DataFrame:
+    folder = working_dir(spark, "stream")
+    return ingest.run_once(view, f"{folder}/rows", f"{folder}/checkpoint")
 
 
 def stream_counter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.run_once(ingest.counters(_stream(spark, sf_dir)), f"counters_{uuid.uuid4().hex}", working_dir(spark, "stream"))
+    return _run(spark, ingest.counters(_stream(spark, sf_dir)))
 
 
 def stream_ingest_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ingest.run_once(ingest.newest_values(_stream(spark, sf_dir)), f"newest_{uuid.uuid4().hex}", working_dir(spark, "stream"))
+    rows = _run(spark, ingest.newest_values(_stream(spark, sf_dir)))
     return rows.filter(F.col("op") != "del").filter(is_live(F.col("expires_at"), NOW_MS)).select("k", "value", "seq")
 
 
