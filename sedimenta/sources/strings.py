@@ -23,8 +23,13 @@ def halves_hash(low: int, high: int) -> str:
     return f"{(high << 64 | low):032x}"
 
 
+def lossy(text: str | bytes) -> str:
+    """Foreign callers may hand over bytes; what isn't UTF-8 in them becomes the replacement character."""
+    return text if isinstance(text, str) else bytes(text).decode("utf-8", "replace")
+
+
 class StringApi:
-    """Every call works on the default container."""
+    """Every call works on the default container.  Texts may be given as bytes (see :func:`lossy`)."""
 
     def __init__(self, engine: Engine):
         self.engine = engine
@@ -40,9 +45,11 @@ class StringApi:
         return {"url_hash": text_hash(url), "ts_ms": self.engine._clock(), "url": url, "title": title, "visit_count": 1}
 
     def history_insert(self, url: str, title: str) -> int:
+        url, title = lossy(url), lossy(title)
         return self._status(lambda: self.engine.history().insert(self._visit(url, title)))
 
     def history_insert_with_ttl(self, url: str, title: str, ttl_ms: int) -> int:
+        url, title = lossy(url), lossy(title)
         return self._status(lambda: self.engine.history().insert_with_ttl(self._visit(url, title), ttl_ms))
 
     def history_increment(self, low: int, high: int) -> int:
@@ -53,29 +60,41 @@ class StringApi:
         return row and row.title
 
     def localstore_insert(self, origin: str, key: str, value: str) -> int:
+        origin, key, value = lossy(origin), lossy(key), lossy(value)
         return self._status(lambda: self.engine.localstore().insert({"origin_hash": text_hash(origin), "key": key, "value": value}))
 
     def localstore_get(self, origin: str, key: str) -> str | None:
+        origin, key = lossy(origin), lossy(key)
         row = self.engine.localstore().get(text_hash(origin), key)
         return row and row.value
 
     def localstore_remove(self, origin: str, key: str) -> int:
+        origin, key = lossy(origin), lossy(key)
         return self._status(lambda: self.engine.localstore().remove(text_hash(origin), key))
 
     def localstore_clear(self, origin: str) -> int:
+        origin = lossy(origin)
         return self._status(lambda: self.engine.localstore().clear_origin(text_hash(origin)))
 
     def localstore_get_all(self, origin: str, callback: Callable[[str, str], object]) -> int:
         """Calls back with every key and value of an origin, in key order."""
+        origin = lossy(origin)
         return self._status(lambda: [callback(r.key, r.value) for r in self.engine.localstore().get_by_origin(text_hash(origin)).toLocalIterator()])
 
     def settings_set(self, key: str, value: str) -> int:
+        key, value = lossy(key), lossy(value)
         return self._status(lambda: self.engine.settings().set(key, value))
 
-    def settings_get(self, key: str) -> str | None:
+    def settings_get(self, key: str | bytes) -> str | None:
+        """Strict: a key that isn't UTF-8 has no setting."""
+        try:
+            key = key if isinstance(key, str) else bytes(key).decode("utf-8")
+        except UnicodeDecodeError:
+            return None
         return self.engine.settings().get(key)
 
     def settings_remove(self, key: str) -> int:
+        key = lossy(key)
         return self._status(lambda: self.engine.settings().remove(key))
 
     def close(self) -> int:
@@ -90,4 +109,4 @@ def open_database(spark, path: str) -> StringApi | None:
         return None
 
 
-__all__ = ["INDEXES", "StringApi", "halves_hash", "open_database", "text_hash"]
+__all__ = ["INDEXES", "StringApi", "halves_hash", "lossy", "open_database", "text_hash"]

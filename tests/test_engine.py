@@ -260,3 +260,215 @@ def test_stream_ingest_into_a_log(spark, tmp_path):
         assert db.settings().get("k3") == "v3" and db.settings().count() == 5
         append_to(db.settings().log, f"{tmp_path}/checkpoint", stream).awaitTermination()
         assert db.settings().count() == 5
+
+
+def test_increments_wrap_around(db):
+    h = db.history()
+    h.insert(visit("u", 2**63 - 1, 0))
+    h.increment(text_hash("u"), 1)
+    assert h.get(text_hash("u")).visit_count == -(2**63)
+    h.increment(text_hash("new"), 2**63 - 1)
+    h.increment(text_hash("new"), 2**63 - 1)
+    assert h.get(text_hash("new")).visit_count == -2
+
+
+def test_a_micro_batch_counts_once(db, spark):
+    h = db.history()
+    h.insert(visit("u", 1, 0))
+    one = h._mutations(h._frame({"url_hash": text_hash("u")}, "url_hash string"), "inc", delta=F.lit(1))
+    assert h.log.append(one, source=("stream", 0)) is not None
+    assert h.log.append(one, source=("stream", 0)) is None  # retried after a failure
+    assert h.log.append(one, source=("stream", 1)) is not None and h.log.append(one, source=("other", 0)) is not None
+    assert h.get(text_hash("u")).visit_count == 4
+    h.compact()
+    assert h.log.append(one, source=("stream", 1)) is None and h.get(text_hash("u")).visit_count == 4
+
+
+def test_many_commits_fold(db):
+    s = db.settings()
+    for i in range(25):
+        s.set(f"k{i % 7}", str(i))
+    assert {r.key: r.value for r in s.rows().collect()} == {f"k{i % 7}": str(i) for i in range(18, 25)}
+    log = s.log
+    if hasattr(log, "_root"):
+        assert any(n.endswith(".all") for n in log._files.names(f"{log._root}/_commits"))
+        assert len(log._files.names(f"{log._root}/_commits")) < 25
+
+
+def test_later_writes_win_after_a_mode_round_trip(db):
+    other = {"persistent": "ultra", "ultra": "persistent"}
+    first = db.container("default").mode
+    for mode in (other[first], first, other[first], first):
+        for i in range(12):
+            db.settings().set("k", f"{mode}{i}")
+        db.set_mode(mode)
+        db.settings().set("k", mode)
+        assert db.settings().get("k") == mode
+
+
+def test_levels_cascade(spark, tmp_path):
+    (tmp_path / "db").mkdir()
+    (tmp_path / "db" / "sedimenta.toml").write_text("[lsm_tree]\nmax_level0_files = 3\nmax_memtable_size_mb = 1\nlevel_thresholds_mb = [0, 1000]\nverify_checksums = true")
+    with Engine.open(spark, f"file://{tmp_path}/db") as db:
+        h = db.history()
+        h.insert([visit("a", 1, 0), visit("b", 1, 0)])
+        h.increment(text_hash("a"), 1)
+        assert h.maintain() == []
+        h.delete({"url_hash": text_hash("b")})
+        assert h.maintain() == [0, 1]  # the first result makes level 1 due, the second rests at level 2
+        assert list(h.log.levels()) == [2]
+        h.increment(text_hash("a"), 5)
+        h.increment(text_hash("a"), 5)
+        h.delete({"url_hash": text_hash("zz")})
+        assert h.maintain() == [0, 1] and sorted(h.log.levels()) == [2]
+        rows = h.log.read()
+        assert rows.filter("op = 'inc' and delta = 10").count() == 1 and rows.filter("op = 'del'").count() == 1  # their base lies deeper
+        assert h.get(text_hash("a")).visit_count == 12 and h.count() == 1
+        assert h.maintain() == []
+
+
+def test_batches_are_sorted_and_have_bloom_filters(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    with Engine.open(spark, f"file://{tmp_path}/db") as db:
+        db.settings().put([{"key": f"k{i * 7919 % 1000:04}", "value": "v"} for i in range(1000)])
+        files = list((tmp_path / "db" / "container=default" / "settings" / "data").rglob("*.parquet"))
+        for f in files:
+            keys = pq.read_table(f).column("key").to_pylist()
+            assert keys == sorted(keys)
+        plan = db.settings().find(key="k0007")._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(key,k0007)" in plan and db.settings().get("k0007") == "v"
+
+
+def test_damaged_pages_are_told(spark, tmp_path):
+    import random
+
+    value = random.Random(1).randbytes(10_000)
+    for name, verify in (("checked", "true"), ("unchecked", "false")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "sedimenta.toml").write_text(f"[lsm_tree]\nmax_level0_files = 4\nmax_memtable_size_mb = 1\nlevel_thresholds_mb = [10]\nverify_checksums = {verify}")
+        with Engine.open(spark, f"file://{tmp_path}/{name}") as db:
+            db.binarystore().put(b"key", value)
+            holding = [f for f in (tmp_path / name).rglob("part-*.parquet") if value[5000:5040] in f.read_bytes()]
+            assert holding
+            for f in holding:
+                raw = bytearray(f.read_bytes())
+                raw[raw.find(value[5000:5040])] ^= 255
+                f.write_bytes(raw)
+                f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+            if verify == "true":
+                with pytest.raises(Exception, match="(?i)checksum|crc"):
+                    db.binarystore().get(b"key")
+            else:
+                assert db.binarystore().get(b"key") != value
+
+
+def test_heat_of_reads_and_writes(db, clock):
+    s = db.settings()
+    s.set("a", "1")
+    for _ in range(3):
+        s.get("a")
+    now = clock.now // 1000
+    assert s.heat.heat(("settings", "a"), now) == 2 + 3 and s.heat.heat(("settings", "b"), now) == 0
+    assert s.heat.heat(("settings", "a"), now + 120) == int(5 * 0.95**2)
+    s.remove("a")
+    assert s.heat.heat(("settings", "a"), now) == 8
+
+
+def test_heat_map_is_bounded():
+    from sedimenta.operators.heat import HeatMap
+
+    heat = HeatMap(config.HeatConfig(max_entries=64, hot_threshold=3))
+    for i in range(1000):
+        heat.record(("t", i), "read", 0)
+    assert len(heat) <= 64
+    for _ in range(5):
+        for i in range(1000, 1064):
+            heat.record(("t", i), "write", 0)
+    hot = [i for i in range(1000, 1064) if heat.heat(("t", i), 0) >= 3]
+    for i in range(2000, 3000):
+        heat.record(("t", i), "read", 0)
+    assert all(heat.heat(("t", i), 0) >= 3 for i in hot)  # keys at the threshold stay
+
+
+def test_lock_of_a_dead_process(spark, tmp_path):
+    path = f"file://{tmp_path}/stale"
+    Engine.open(spark, path)  # never closed
+    with pytest.raises(AlreadyOpen):
+        Engine.open(spark, path, stale_after_s=3600)
+    with Engine.open(spark, path, stale_after_s=-1) as db:
+        db.settings().set("a", "1")
+
+
+def test_purge_counts_and_memory(db, clock):
+    db.settings().put([{"key": "a", "value": "1"}, {"key": "b", "value": "1"}], ttl_ms=5)
+    db.settings().set("c", "1")
+    db.history().insert(visit("u", 1, 0))
+    clock.now += 6
+    counts = db.purge_counts()
+    assert counts["settings"] == 2 and sum(counts.values()) == 2 and db.purge_expired() == 0
+    if db.container("default").mode == "ultra":
+        assert db.settings().log.read().count() == 1
+
+
+def test_own_index(db):
+    ls = db.localstore()
+    ls.insert([{"origin_hash": text_hash("o"), "key": k, "value": v} for k, v in (("a", "red apple"), ("b", "green pear"), ("c", "none"))])
+    ls.add_index("second", F.when(F.instr("value", " ") > 0, F.split_part("value", F.lit(" "), F.lit(2))))
+    assert [r.key for r in ls.by_index("second", "pear").collect()] == ["b"] and ls.index_entries("second").count() == 2
+
+
+def test_bytes_at_the_string_surface(spark, tmp_path):
+    api = open_database(spark, f"file://{tmp_path}/bytes")
+    assert api.settings_set(b"caf\xc3\xa9", b"bad \xff") == 0 and api.settings_get("café") == "bad \ufffd"
+    assert api.settings_get(b"caf\xc3\xa9") == "bad \ufffd" and api.settings_get(b"\xff") is None
+    api.close()
+
+
+def test_key_prefix_counts_bytes(spark):
+    rows = spark.createDataFrame([("ab:c:d",), ("ééééé",), ("né:x",), ("",), (":",)], "k string").select(S.key_prefix(F.col("k")).alias("p")).collect()
+    assert [bytes(r.p) for r in rows] == [b"ab:", "éééé".encode(), "né:".encode(), b"", b":"]
+
+
+def test_crc32_is_that_of_zlib(spark):
+    import zlib
+
+    texts = ["", "a", "naïve 日本", "x" * 10_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.crc32(F.col("t").cast("binary")).alias("c")).collect()
+    assert {r.t: r.c for r in rows} == {t: zlib.crc32(t.encode()) for t in texts}
+
+
+def test_tags(spark):
+    from sedimenta.sources.schema import table_of_tag
+
+    rows = spark.range(0, 10).select("id", table_of_tag(F.col("id")).alias("t")).collect()
+    assert [r.t for r in rows] == ["history", "history", "cookies", "cache", "localstore", "settings", "bookmarks", "binarystore", "history", "history"]
+
+
+def test_bloom_filter(spark):
+    from sedimenta.operators import bloom
+
+    bits, hashes = bloom.shape(5000, 0.01)
+    assert hashes == 6 or hashes == 7 or bits == bloom.PAGE_BITS
+    pages = bloom.built(spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k")), "k", bits, hashes)
+    found = bloom.may_contain(spark.range(20_000).select("id", F.concat(F.lit("k"), "id").alias("k")), "k", pages, bits, hashes)
+    counts = found.groupBy((F.col("id") < 5000).alias("held")).count().collect()
+    counts = {r.held: r["count"] for r in counts}
+    assert counts[True] == 5000 and counts.get(False, 0) < 600
+
+
+def test_state_that_expires(spark, tmp_path):
+    """A row with a time to live is reported, then given back once event time has passed it."""
+    from sedimenta.streaming.ingest import expiring_values
+
+    ddl = "k string, val long, op string, ts_ms long, expires_at long"
+    batches = [[("a", 1, "put", 1000, 5000), ("b", 2, "put", 1000, 0)], [("c", 3, "put", 9000, 0)], [("b", 0, "del", 9500, 0), ("d", 4, "put", 9600, 0)], [("e", 5, "put", 20000, 0)]]
+    seen = []
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        q = expiring_values(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: seen.extend(tuple(r) for r in df.collect()))
+        q.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
+    assert seen.count(("a", "1", True)) == 1 and seen.count(("a", "1", False)) == 1 and ("b", None, False) in seen
+    assert ("c", "3", True) in seen and ("e", "5", True) in seen and ("c", "3", False) not in seen
