@@ -47,10 +47,12 @@ TABLES = {
         Table("localstore", "origin_hash string, key string", "value string, index_fields array<string>"),
         Table("settings", "key string", "value string"),
         Table("bookmarks", "url_hash string", "url string, title string, folder string, created_at bigint"),
-        Table("binarystore", "key binary", "value binary"),
+        Table("binarystore", "key binary", "value binary, blob string"),
     )
 }
 
+BLOB_DDL = "blob string, value binary, batch bigint, pos bigint"
+
 # Tags of tables and entry kinds; unknown tags mean history and put
 TABLE_TAGS = {1: "history", 2: "cookies", 3: "cache", 4: "localstore", 5: "settings", 6: "bookmarks", 7: "binarystore"}
 INDEXES = ("value", "key", "origin_hash")

@@ -109,6 +109,14 @@ class LogTable:
     def count(self) -> int:
         return self.live().count()
 
+    def portable(self, rows: DataFrame) -> DataFrame:
+        """Log rows as another kind of log can take them."""
+        return rows
+
+    def accepted(self, rows: DataFrame) -> DataFrame:
+        """Log rows of another log as this table keeps them."""
+        return rows
+
     def iterate(self):
         """Live rows in key order, one partition at a time on the driver."""
         return self.all().toLocalIterator(prefetchPartitions=True)
@@ -298,13 +306,62 @@ class Settings(LogTable):
         self.delete({"key": key})
 
 
+BLOB_BYTES = 65_536  # values over this stand apart from the log
+
+
 class BinaryStore(LogTable):
+    """Raw keys and values.  On disk, large values go to a log of blobs, named by their digest, before the row that
+    points to them is committed, so that scans and merges of keys don't carry them."""
+
+    blobs = None  # set by the container, for logs on disk
+
+    def _frame(self, rows: Rows, columns: str) -> DataFrame:
+        if columns == self.schema.keys:
+            return super()._frame(rows, columns)
+        return self._apart(super()._frame(rows, "key binary, value binary"), F.col("value"), lambda value, blob: [F.col("key"), value.alias("value"), blob.alias("blob")])
+
+    def _apart(self, rows: DataFrame, value: Column, shown: Callable[[Column, Column], list[Column]]) -> DataFrame:
+        """``rows`` as ``shown`` makes them from the value that stays and the blob's name; large values are written."""
+        name = F.lit(None).cast("string")
+        if self.blobs is not None:
+            large = F.coalesce(F.octet_length(value) > BLOB_BYTES, F.lit(False))
+            held = rows.filter(large).select(F.sha2(value, 256).alias("blob"), value.alias("value"), F.monotonically_increasing_id().alias("pos"))
+            if not held.isEmpty():
+                self.blobs.append(held)
+            name = F.when(large, F.sha2(value, 256))
+            value = F.when(~large, value)
+        return rows.select(*shown(value, name))
+
+    def _together(self, rows: DataFrame, value: Column, blob: Column, shown: Callable[[Column], list[Column]]) -> DataFrame:
+        """``rows`` with their large values put back; rows without a blob meet nothing, each under a name of its own."""
+        if self.blobs is None or not self.blobs.batches():
+            return rows.select(*shown(value))
+        held = self.blobs.read().groupBy(F.col("blob").alias("_name")).agg(F.first("value").alias("_blob"))
+        met = rows.withColumn("_wanted", F.coalesce(blob, F.concat(F.lit("-"), F.xxhash64("key").cast("string"))))
+        return met.join(held, F.col("_wanted") == F.col("_name"), "left").select(*shown(F.coalesce(value, F.col("_blob"))))
+
+    def rows(self) -> DataFrame:
+        return self._together(self.live(), F.col("value"), F.col("blob"), lambda value: [F.col("key"), value.alias("value")])
+
+    def portable(self, rows: DataFrame) -> DataFrame:
+        row = lambda value: F.struct(value.alias("value"), F.lit(None).cast("string").alias("blob"))
+        others = [c for c in rows.columns if c != "row"]
+        return self._together(rows, F.col("row.value"), F.col("row.blob"), lambda value: [*map(F.col, others), row(value).alias("row")])
+
+    def accepted(self, rows: DataFrame) -> DataFrame:
+        others = [c for c in rows.columns if c != "row"]
+        return self._apart(rows, F.col("row.value"), lambda value, blob: [*map(F.col, others), F.struct(value.alias("value"), blob.alias("blob")).alias("row")])
+
     def put(self, rows: Rows | bytes, value: bytes | None = None, ttl_ms: int | None = None) -> None:
         super().put({"key": rows, "value": value} if isinstance(rows, (bytes, bytearray)) else rows, ttl_ms)
 
     def get(self, key: bytes) -> bytes | None:
-        row = self.one(key=key)
-        return None if row is None else bytes(row.value)
+        """The row first, then its blob, if it has one, by name."""
+        self._touch([{"key": key}], "read")
+        row = next(iter(scans.get(self.live(), key=key).take(1)), None)
+        if row is None or row.blob is None:
+            return None if row is None else bytes(row.value)
+        return bytes(scans.get(self.blobs.read(), blob=row.blob).first().value)
 
     def delete(self, keys: Rows | bytes) -> None:
         super().delete({"key": keys} if isinstance(keys, (bytes, bytearray)) else keys)
@@ -316,6 +373,17 @@ class BinaryStore(LogTable):
     def all_entries(self) -> DataFrame:
         return self.all()
 
+    def gc_blobs(self) -> int:
+        """Drop blobs that no key's newest version points to, and tell how many rows of blobs that were."""
+        if self.blobs is None or not self.blobs.batches():
+            return 0
+        held = self.blobs.read()
+        before = held.count()
+        current = self.live().filter("blob is not null").select("blob")
+        kept = scans.live_blobs(held, current, "blob").dropDuplicates(["blob"])
+        self.blobs.replace(kept)
+        return before - self.blobs.read().count()
+
 
 KINDS = {
     "history": History, "bookmarks": Bookmarks, "cookies": Cookies, "cache": Cache,

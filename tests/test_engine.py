@@ -472,3 +472,24 @@ def test_state_that_expires(spark, tmp_path):
         q.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
     assert seen.count(("a", "1", True)) == 1 and seen.count(("a", "1", False)) == 1 and ("b", None, False) in seen
     assert ("c", "3", True) in seen and ("e", "5", True) in seen and ("c", "3", False) not in seen
+
+
+def test_large_values_stand_apart(db):
+    b = db.binarystore()
+    large = [bytes([i]) * (65_537 + i) for i in range(3)]
+    b.put([{"key": b"a", "value": large[0]}, {"key": b"b", "value": b"x" * 65_536}, {"key": b"c", "value": large[1]}])
+    on_disk = db.container("default").mode == "persistent"
+    if on_disk:
+        assert b.blobs.read().count() == 2 and b.live().filter("blob is null").count() == 1
+    assert {bytes(r.key): bytes(r.value) for r in b.rows().collect()} == {b"a": large[0], b"b": b"x" * 65_536, b"c": large[1]}
+    b.put(b"a", large[2])
+    b.batch([{"key": b"d", "value": large[2]}], [{"key": b"c"}])
+    assert b.get(b"a") == large[2] and b.get(b"c") is None and b.get(b"d") == large[2]
+    assert b.gc_blobs() == (3 if on_disk else 0) and b.gc_blobs() == 0  # two dead ones, and one that was held twice
+    other = {"persistent": "ultra", "ultra": "persistent"}[db.container("default").mode]
+    db.set_mode(other)
+    b = db.binarystore()
+    assert b.get(b"a") == large[2] and b.get(b"b") == b"x" * 65_536 and b.count() == 3
+    assert (b.blobs is None) == (other == "ultra") and (b.blobs is None or b.blobs.read().count() == 2)
+    db.wipe()
+    assert b.count() == 0 and b.get(b"a") is None
