@@ -123,14 +123,14 @@ def first_graph(nodes: DataFrame, k: int, threshold: float, tables: int = TABLES
                     planes = np.random.default_rng([seed, t, int(dim)]).standard_normal((int(dim), 40))
                     signs = (x @ planes) > 0
                     code = (signs * (np.arange(40)[None, :] < bits[:, None])) @ (1 << np.arange(40, dtype=np.int64))
-                    out.append(pd.DataFrame({"label": part["label"].astype("int64"), "dim": int(dim), "t": t, "code": code, "node": part["node"], "home": part["home"], "vec": part["vec"]}))
+                    out.append(pd.DataFrame({"label": part["label"], "dim": int(dim), "t": t, "code": code, "node": part["node"], "home": part["home"], "vec": part["vec"]}))
             if out:
                 yield from pa.Table.from_pandas(pd.concat(out), preserve_index=False, schema=pa.schema(
-                    [("label", pa.int64()), ("dim", pa.int32()), ("t", pa.int32()), ("code", pa.int64()), ("node", pa.int64()), ("home", pa.int64()), ("vec", pa.list_(pa.float64()))]
+                    [("label", pa.string()), ("dim", pa.int32()), ("t", pa.int32()), ("code", pa.int64()), ("node", pa.int64()), ("home", pa.int64()), ("vec", pa.list_(pa.float64()))]
                 )).to_batches()
 
-    coded = sized.select(F.col("label").cast("long"), "dim", "size", "node", "home", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
-        codes, "label long, dim int, t int, code long, node long, home long, vec array<double>"
+    coded = sized.select(F.col("label").cast("string"), "dim", "size", "node", "home", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(
+        codes, "label string, dim int, t int, code long, node long, home long, vec array<double>"
     )
     # a crowded code is dealt into parts of about the block's size
     counts = coded.groupBy("label", "dim", "t", "code").agg(F.ceil(F.count("*") / block).alias("parts"))
