@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,6 +46,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(*stores: DataFrame) -> None:
+    """Delete what :func:`stored` wrote, once everything made from it has been cut from it."""
+    for df in stores:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not re.fullmatch(r".*-[0-9a-f]{32}", folder):
+                raise ValueError(f"{folder} was not made by stored()")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def own_columns(df: DataFrame, **columns) -> DataFrame:
     """Only the named inputs, under names no extra column can clash with."""
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
@@ -108,15 +120,20 @@ def may_hold(held: dict[int, bytes], name: int) -> bool:
     return bool(page and page[(at & 32767) >> 3] >> (at & 7) & 1)
 
 
-def may_hold_each(held: dict[int, bytes], names):
-    """:func:`may_hold` of every number of an array, as booleans."""
+def bits_of(held: dict[int, bytes]):
+    """An id filter as one array of bytes, for :func:`may_hold_each`."""
     import numpy as np
 
     bits = np.zeros((1 << FILTER_BITS) // 8, dtype=np.uint8)
     for page, part in held.items():
         bits[page << 12 : (page << 12) + len(part)] = np.frombuffer(part, np.uint8)
+    return bits
+
+
+def may_hold_each(bits, names):
+    """:func:`may_hold` of every number of an array, as booleans."""
     at = names & ((1 << FILTER_BITS) - 1)
-    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+    return (bits[at >> 3] >> (at & 7).astype("u1") & 1).astype(bool)
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:

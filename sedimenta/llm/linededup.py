@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import connected_components, cut, free_name, id_filter, may_hold, may_hold_each, own_columns, sliced, stored, table
+from sedimenta.llm.common import bits_of, connected_components, cut, discard, free_name, id_filter, may_hold, may_hold_each, own_columns, sliced, stored, table
 
 EDITS = 2
 SHORT = 20  # characters; shorter lines are matched exactly only
@@ -155,6 +155,7 @@ def postings_of(docs: DataFrame, edits: int = EDITS, wanted: dict[int, bytes] |
 
         plans: dict[int, list] = {}
         seen: set[int] = set()
+        bits = None if wanted is None else bits_of(wanted)
         for batch in sliced(batches):
             keys, ids, own = [], [], []
             if len(seen) > SEEN:
@@ -179,8 +180,8 @@ def postings_of(docs: DataFrame, edits: int = EDITS, wanted: dict[int, bytes] |
                         ids.append(name)
                         own.append(mine)
             columns = [np.array(keys, dtype=np.uint64).view(np.int64), np.array(ids, dtype=np.int64), np.array(own, dtype=bool)]
-            if wanted is not None:
-                passing = may_hold_each(wanted, columns[0])
+            if bits is not None:
+                passing = may_hold_each(bits, columns[0])
                 columns = [c[passing] for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "id", "own"])
 
@@ -250,7 +251,9 @@ def line_links(docs: DataFrame, lines: DataFrame, edits: int = EDITS) -> DataFra
 
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
-    return both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long")
+    links = cut(both.select("a", "b", "left", "right").mapInArrow(verify, "a long, b long"))
+    discard(texts)
+    return links
 
 
 NAME = ["id", "len", "low", "high"]  # a line's hash, length and character counts name it
@@ -259,7 +262,7 @@ NAME = ["id", "len", "low", "high"]  # a line's hash, length and character count
 def _classes(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """As :func:`line_classes`, with each line's ``row`` (see :func:`lines_of`)."""
     lines = stored(lines_of(docs), "lines")
-    links = cut(line_links(docs, lines, edits))
+    links = line_links(docs, lines, edits)
     components = connected_components(links)
     degree = links.select(F.col("a").alias("v")).unionByName(links.select(F.col("b").alias("v"))).groupBy("v").agg(F.count("*").alias("n_links"))
     place = F.struct("doc_id", "line_no", "row")

@@ -1,16 +1,18 @@
 """Near-duplicate documents by SimHash fingerprints and a byte-position index.
 
-Two 64-bit fingerprints at most ``distance`` bits apart differ in at most ``distance`` bytes, so at least
-``8 - distance`` of their eight positional bytes agree.  Distinct fingerprints are posted under positional
-bytes, taken in groups so that a posting list stays short: the eight positions form ``distance + 2`` groups,
-of which any linked pair shares two or more, and each pair of groups makes one posting key.  A pair that
-meets is tallied by its shared positional bytes, dropped below the guaranteed count, and verified by the
-number of differing bits.
+Two 64-bit fingerprints at most two bits apart differ in at most two bytes, so at least six of their eight
+positional bytes agree.  Single bytes make lists that grow with the corpus, so a posting's key is longer: the
+eight positions form four groups of two, of which any linked pair shares two whole ones; a key is two groups
+and one of the four positional bytes outside them (24 keys of 40 bits a fingerprint).  Two fingerprints that
+meet share the four bytes of the groups, and every further posting they share under the same groups is one more
+positional byte: the index hits are tallied, and pairs with fewer than two, that is fewer than six shared
+bytes, are dropped before their bits are compared.
 
 A posting list longer than ``hot`` isn't expanded into pairs.  Its fingerprints are instead linked through
 midpoints: two fingerprints at most two bits apart share a fingerprint at most one bit from either.  All
 holders of a midpoint are within two bits of each other, so each is linked to the smallest holder, which
-gives the same components from 65 rows a fingerprint.  Every posting list takes one of the two ways.
+gives the same components from 65 rows a fingerprint.  A pair that shares a long list is linked that way, any
+other pair has all its shared lists expanded.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import connected_components, cut, free_name, id_filter, may_hold, own_columns, stored, table
+from sedimenta.llm.common import FILTER_BITS, bits_of, connected_components, cut, discard, free_name, id_filter, may_hold, may_hold_each, own_columns, sliced, stored, table
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(range(256)).lower()
@@ -68,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """``doc_id, fp`` (signed 64-bit) of every row of ``docs(doc_id, text)``; narrow, one batch in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
@@ -79,20 +81,21 @@ def links(fps: DataFrame, distance: int = 2, hot: int = 64) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fps(fp)`` that connect all pairs within ``distance`` bits."""
     if distance != 2:
         raise ValueError("the midpoint way for long posting lists holds for a distance of two bits")
-    # positional bytes in four groups of two; any two of the groups make a posting key
-    groups = [F.expr(f"(fp >> {16 * g}) & 65535") for g in range(4)]
-    keys = F.array(*[F.lit(n).cast("long") * (1 << 32) + groups[g] * 65536 + groups[h] for n, (g, h) in enumerate(combinations(range(4), 2))])
-    postings = fps.select("fp", F.explode(keys).alias("key"))
+    group = lambda g: f"((fp >> {16 * g}) & 65535)"
+    byte = lambda i: f"((fp >> {8 * i}) & 255)"
+    keys = []
+    for n, (g, h) in enumerate(combinations(range(4), 2)):
+        for m, i in enumerate(i for i in range(8) if i // 2 not in (g, h)):
+            keys.append(F.expr(f"({4 * n + m}L << 40) | ({group(g)} << 24) | ({group(h)} << 8) | {byte(i)}"))
+    postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     postings = cut(postings.join(sizes, "key"))
 
     short = postings.filter(F.col("size") <= hot)
     a, b = short.select("key", F.col("fp").alias("a")), short.select("key", F.col("fp").alias("b"))
-    apart = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum(F.when(F.expr(f"((a ^ b) >> {8 * i}) & 255") == 0, 1).otherwise(0) for i in range(8))
-    near = (
-        a.join(b, "key").filter("a < b").filter(shared >= 8 - distance).filter(F.bit_count(apart) <= distance).select("a", "b")
-    )
+    # hits under the same two groups: shared positional bytes beside the groups' four
+    tallied = a.join(b, "key").filter("a < b").groupBy("a", "b", F.shiftright("key", 42).alias("groups")).agg(F.count("*").alias("hits"))
+    near = tallied.filter(F.col("hits") >= 8 - distance - 4).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).select("a", "b")
 
     crowded = postings.filter(F.col("size") > hot).select("fp").distinct()
     flips = [F.col("fp")] + [F.col("fp").bitwiseXOR(F.lit((1 << i) - ((1 << 64) if i == 63 else 0))) for i in range(64)]
@@ -119,11 +122,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     )
 
 
-def _node(words: list[bytes]) -> int:
+def _node(words: list[bytes], seed: int = 1) -> int:
     """The signed 64-bit hash that names a text by its words."""
     from xxhash import xxh64_intdigest
 
-    value = xxh64_intdigest(b" ".join(words), 1)
+    value = xxh64_intdigest(b" ".join(words), seed)
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -132,112 +135,241 @@ def _least(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def prefixes(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``doc_id, node, n, prefix``: a name for the text's words, its distinct shingles and the first of their hashes.
+VALUE_BITS = 61  # of a shingle's hash; two bits above them rank it by how common it is
+
+
+def _shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, ascending, as positive numbers of ``VALUE_BITS`` bits."""
+    return np.unique(shingle_hashes(words, shingle) & np.uint64((1 << VALUE_BITS) - 1)).view(np.int64)
+
 
-    Two sets that are ``similarity`` alike share all but ``n - least`` of either's hashes, so the
-    ``n - least + 1`` smallest of one and of the other have one in common, whatever the texts are; narrow.
+def _prefix(values: np.ndarray, similarity: float, common: list[np.ndarray]) -> np.ndarray:
+    """The first ``n - least + 1`` of a set's shingles, rare ones first; see :func:`prefixes`."""
+    ranked = values
+    for bits in common:
+        ranked = ranked + (may_hold_each(bits, values).astype(np.int64) << VALUE_BITS)
+    return np.sort(ranked)[: len(values) - _least(len(values), similarity) + 1]
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: float, common: list[dict[int, bytes]]) -> DataFrame:
+    """``doc_id, node, second, n, prefix``: two names for the text's words, its distinct shingles and the first of them.
+
+    Shingles are in one order for all texts: by the number of bitmaps of ``common`` that hold them (three at
+    most), then by hash.  Two sets that are ``similarity`` alike share all but ``n - least`` of either's shingles,
+    so the first ``n - least + 1`` of one and of the other have one in common, whatever the order; an order with
+    common shingles last keeps posting lists short.  Narrow.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes, sizes, firsts = [], [], []
+        bits = [bits_of(held) for held in common]
+        for batch in sliced(batches):
+            nodes, seconds, sizes, firsts = [], [], [], []
             for text in batch.column(1):
                 words = _words(text.as_py())
-                hashes = np.unique(shingle_hashes(words, shingle).view(np.int64))
+                values = _shingle_set(words, shingle)
                 nodes.append(_node(words))
-                sizes.append(len(hashes))
-                firsts.append(hashes[: len(hashes) - _least(len(hashes), similarity) + 1])
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n", "prefix"])
+                seconds.append(_node(words, 2))
+                sizes.append(len(values))
+                firsts.append(_prefix(values, similarity, bits))
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "second", "n", "prefix"])
+
+    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, node long, second long, n int, prefix array<long>")
 
-    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, node long, n int, prefix array<long>")
+
+def common_shingles(docs: DataFrame, shingle: int, similarity: float) -> list[dict[int, bytes]]:
+    """Three id filters: shingles that occur in the hash-ordered prefixes of several, many and very many rows.
+
+    Every row is counted.  The filters only make an order, so that they may hold other shingles by chance changes
+    no result.  They have a fixed size; the least count is the smallest power of two that a quarter of one can hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            found = [_prefix(_shingle_set(_words(text.as_py()), shingle), similarity, []) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["id"])
+
+    counted = own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "id long").groupBy("id").agg(F.count("*").alias("df")).filter("df > 1")
+    counted = cut(counted)
+    by_size = {r.p: r.n for r in counted.groupBy(F.floor(F.log2("df")).alias("p")).agg(F.count("*").alias("n")).collect()}
+    least, most = 1, (1 << FILTER_BITS) // 4
+    while sum(n for p, n in by_size.items() if p >= least) > most:
+        least += 1
+    return [id_filter(counted.filter(F.col("df") >= 1 << (least + 2 * k)).select("id")) for k in range(3)]
 
 
 def _shingle_sets(docs: DataFrame, shingle: int, wanted: dict[int, bytes]) -> DataFrame:
     """``node, hashes`` (distinct) of the texts that the id filter lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             found = {}
             for text in batch.column(1):
                 words = _words(text.as_py())
                 node = _node(words)
                 if node not in found and may_hold(wanted, node):
-                    found[node] = np.unique(shingle_hashes(words, shingle)).view(np.int64)
+                    found[node] = _shingle_set(words, shingle)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], names=["node", "hashes"])
 
     rows = own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "node long, hashes array<long>")
     return rows.groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def _verified(sets: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose shingle sets overlap by ``similarity`` of their union."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    sets = stored(_shingle_sets(docs, shingle, id_filter(ids)), "shingle-sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("left")), "a")
     both = both.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("right")), "b")
-    # sizes that are too far apart need no look at the sets
-    small, large = F.least(F.size("left"), F.size("right")), F.greatest(F.size("left"), F.size("right"))
     common = F.size(F.array_intersect("left", "right"))
-    close = F.when(small < similarity * large, False).otherwise(common >= similarity * (F.size("left") + F.size("right") - common))
-    return both.filter(close).select("a", "b")
+    return both.filter(common >= similarity * (F.size("left") + F.size("right") - common)).select("a", "b")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, component_id`` of every row: classes of texts whose shingle sets are at least ``similarity`` alike.
+def linking_pairs(nodes: np.ndarray, sets: list[np.ndarray], similarity: float, apart: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """Pairs at least ``similarity`` alike that connect all such pairs: fewer than there are sets.
 
-    Texts are posted under the hashes of their prefix (see :func:`prefixes`), so every such pair meets; no pair
-    is lost.  First every text meets one pivot of each of its postings; then only texts that are still in
-    different classes meet, so a crowd of copies isn't expanded into its pairs.  Those are tallied by the
-    hashes that their prefixes share: of two prefixes the one that ends first holds all common hashes up to its
-    end, and beyond it at most the rest of its text's can be common.  What the tally allows is verified.
-    Texts without words are one class.  Null, empty and repeated texts keep a row each.
+    An inverted index over all shingles of the sets counts what each set shares with every other one.  With
+    ``apart`` (booleans) only pairs of a set that has it and one that hasn't are looked at.
     """
-    rows = stored(prefixes(docs, shingle, similarity), "prefixes")
-    heads = stored(rows.groupBy("node").agg(F.min("doc_id").alias("head"), F.first(F.struct("n", "prefix")).alias("s")).select("node", "head", "s.*"), "heads")
-    sizes = heads.select("node", "n", F.size("prefix").alias("held"), F.element_at("prefix", -1).alias("end")).filter("n > 0")
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    owner = np.repeat(np.arange(len(sets)), n)
+    values = np.concatenate(sets) if len(sets) else np.zeros(0, dtype=np.int64)
+    order = np.argsort(values, kind="stable")
+    first = np.r_[True, values[order][1:] != values[order][:-1]] if len(values) else np.zeros(0, dtype=bool)
+    start = np.flatnonzero(first)
+    length = np.diff(np.r_[start, len(values)])
+    group = np.empty(len(values), dtype=np.int64)
+    group[order] = np.cumsum(first) - 1
+    holders = owner[order]
+    bounds = np.r_[0, np.cumsum(n)]
+    label, a, b = np.arange(len(sets)), [], []
+    for i in range(len(sets)):
+        lists = group[bounds[i] : bounds[i + 1]]
+        lists = lists[length[lists] > 1]
+        if not len(lists):
+            continue
+        sizes = length[lists]
+        at = np.repeat(start[lists] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(int(sizes.sum()))
+        shared = np.bincount(holders[at], minlength=len(sets))
+        near = shared >= similarity * (n + n[i] - shared) - 1e-9
+        near &= label != label[i]
+        if apart is not None:
+            near &= apart != apart[i]
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(int(nodes[i]))
+                b.append(int(nodes[j]))
+    return a, b
+
+
+def _crowd_links(sets: DataFrame, crowds: DataFrame, similarity: float, part: int) -> DataFrame:
+    """Links (a, b) that connect all pairs at least ``similarity`` alike inside each crowd of ``crowds(node, crowd)``.
+
+    A crowd is dealt into parts of about ``part`` texts; a task compares two parts in memory and gives only the
+    links that connect what it found, so no pair is written that isn't one of those.
+    """
+    sizes = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    dealt = crowds.join(sizes, "crowd").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = dealt.join(sets, "node").select("crowd", "node", "hashes", "part", other)
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    rows = dealt.select(F.xxhash64("crowd", low, high).alias("task"), "crowd", low.alias("low"), high.alias("high"), (F.col("part") == low).alias("side"), "node", "hashes")
 
-    # keys of one text only are of no use; the smallest node of a key is its pivot
-    postings = heads.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    pivot = postings.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot <> top").select("key", "pivot")
-    shared = stored(postings.join(pivot, "key"), "shared-postings")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        name = None
 
-    side = lambda df, s: df.select(*[F.col(c).alias(f"{s}_{c}" if c != "node" else s) for c in df.columns])
-    sized = lambda pairs: pairs.join(side(sizes, "a"), "a").join(side(sizes, "b"), "b")
-    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
-    common = F.ceil((F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9)  # hashes a pair must share
+        def flush() -> pa.RecordBatch:
+            whole = pa.Table.from_batches(held)
+            side = whole["side"].to_numpy() if name[2] != name[3] else None
+            # parts of their own are compared inside by their own task
+            a, b = linking_pairs(whole["node"].to_numpy(), [x.values.to_numpy() for x in whole["hashes"]], similarity, side)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            names = list(zip(*(batch.column(k).to_pylist() for k in range(4))))
+            at = 0
+            for i in range(1, len(names) + 1):
+                if i == len(names) or names[i] != names[at]:
+                    if name is not None and names[at] != name:
+                        yield flush()
+                        held = []
+                    name = names[at]
+                    held.append(batch.slice(at, i - at))
+                    at = i
+        if held:
+            yield flush()
+
+    ordered = rows.repartition("task").sortWithinPartitions("task", "crowd", "low", "high")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+CROWDED = 32  # texts of a posting list that are still paired one by one
+PART = 1024  # texts of a crowd that a task compares with as many others
 
-    pairs = shared.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = cut(sized(pairs).filter(alike).select("a", "b"))
-    edges = cut(_verified(docs, pairs, shingle, similarity))
-    classes = connected_components(edges).select(F.col("v").alias("node"), "component")
 
-    named = shared.join(classes, "node", "left").select("key", "node", "n", "at", F.coalesce("component", "node").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x <> y").select("key")
-    named = cut(named.join(mixed, "key"))
-    left = lambda s: named.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "at", "c")])
-    met = left("a").join(left("b"), "key").filter("a < b and a_c <> b_c").filter(alike)
-    # the first common hash leaves room for all the others
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowded: int = CROWDED, part: int = PART) -> DataFrame:
+    """``doc_id, component_id`` of every row: classes of texts whose shingle sets are at least ``similarity`` alike.
+
+    Texts are posted under the shingles of their prefix (see :func:`prefixes`), so every such pair meets; no pair
+    is lost.  Texts that meet in short lists only are paired and tallied by the shingles their prefixes share: of
+    two prefixes the one that ends first holds all common shingles up to its end, and beyond it at most the rest
+    of its text's can be common.  What the tally allows is verified.  Texts that a list of more than ``crowded``
+    joins are a crowd: all its pairs are compared in memory, part by part, and only links that connect come out.
+    Texts without words, null ones too, are one class.  Repeated rows keep a row each; an empty table gives none.
+    """
+    rows = stored(prefixes(docs, shingle, similarity, common_shingles(docs, shingle, similarity)), "prefixes")
+    seconds = (F.min("second").alias("low"), F.max("second").alias("high"))
+    heads = rows.groupBy("node").agg(F.min("doc_id").alias("head"), F.first(F.struct("n", "prefix")).alias("s"), *seconds)
+    # different texts under one name, rare as they are, take no part and stay
+    heads = stored(heads.filter("low = high").select("node", "head", "s.*"), "heads")
+    ends = heads.select("node", "n", F.size("prefix").alias("held"), F.try_element_at("prefix", F.lit(-1)).alias("end")).filter("n > 0")
+
+    # keys of one text only are of no use
+    postings = heads.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = stored(postings.join(sizes, "key"), "shared-postings")
+
+    # long lists with a text in common make one crowd; copies of each other name the same few pairs of lists
+    long = shared.filter(F.col("size") > crowded).select("node", "key")
+    least = cut(long.groupBy("node").agg(F.min("key").alias("least")))
+    joint = long.join(least, "node").filter("key <> least").select(F.col("least").alias("a"), F.col("key").alias("b")).distinct()
+    lists = connected_components(joint).withColumnRenamed("v", "least")
+    crowds = cut(least.join(lists, "least", "left").select("node", F.coalesce("component", "least").alias("crowd")))
+
+    short = shared.filter(F.col("size") <= crowded)
+    left = lambda s: short.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "at")])
+    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
+    needed = F.ceil((F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9)  # shingles a pair must share
+    # of what stands before the common shingle, and after it, a pair can share as much as the shorter stretch
+    possible = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = left("a").join(left("b"), "key").filter("a < b").filter(alike & (possible >= needed))
+    # the first common shingle leaves room for all the others
     room = F.max(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))).alias("room")
-    tallied = sized(met.groupBy("a", "b").agg(F.count("*").alias("shared"), room))
+    tallied = met.groupBy("a", "b").agg(F.count("*").alias("shared"), room)
+    side = lambda s: ends.select(*[F.col(c).alias(f"{s}_{c}" if c != "node" else s) for c in ends.columns])
+    tallied = tallied.join(side("a"), "a").join(side("b"), "b")
     rest = F.when(F.col("a_end") < F.col("b_end"), F.col("a_n") - F.col("a_held")).when(
         F.col("a_end") > F.col("b_end"), F.col("b_n") - F.col("b_held")
     ).otherwise(F.least(F.col("a_n") - F.col("a_held"), F.col("b_n") - F.col("b_held")))
-    crossed = tallied.filter((F.col("room") >= common) & (F.col("shared") + rest >= common)).select("a", "b")
-    crossed = cut(crossed.join(pairs, ["a", "b"], "left_anti"))
-    edges = edges.unionByName(_verified(docs, crossed, shingle, similarity))
+    pairs = cut(tallied.filter((F.col("room") >= needed) & (F.col("shared") + rest >= needed)).select("a", "b"))
 
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowds.select(F.col("node").alias("id")))
+    sets = stored(_shingle_sets(docs, shingle, id_filter(ids)), "shingle-sets")
+    edges = _verified(sets, pairs, similarity).unionByName(_crowd_links(sets, crowds, similarity, part))
     classes = connected_components(edges).select(F.col("v").alias("node"), "component")
     placed = heads.select("node", "head").join(classes, "node", "left").select("node", "head", F.coalesce("component", "node").alias("c"))
     first = placed.groupBy("c").agg(F.min("head").alias("component_id"))
-    return rows.select("doc_id", "node").join(placed.join(first, "c").select("node", "component_id"), "node").select("doc_id", "component_id")
+    found = placed.join(first, "c").select("node", "component_id")
+    result = cut(rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")))
+    discard(rows, heads, shared, sets)
+    return result
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class (see :func:`similar_documents`), unchanged.
 
-    One row for each such doc_id stays.
+    One row for each such doc_id stays, of a null doc_id too; of rows that share it the one whose text has the
+    smallest hash.  Null and empty texts are one class; an empty table stays empty.  All columns keep their names.
     """
     first = similar_documents(docs, shingle, similarity).select(F.col("component_id").alias("first")).distinct()
     key, rank = free_name(docs, "first"), free_name(docs, "rank")
