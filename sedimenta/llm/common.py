@@ -57,8 +57,19 @@ def discard(*stores: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session pass at most ``BATCH_ROWS`` rows at once to Python: executors hold batches beside their heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def own_columns(df: DataFrame, **columns) -> DataFrame:
     """Only the named inputs, under names no extra column can clash with."""
+    small_batches(df.sparkSession)
     return df.select(*[F.col(source).alias(name) for name, source in columns.items()])
 
 
@@ -81,6 +92,7 @@ def with_text_column(docs: DataFrame, name: str, ddl: str, prepare) -> DataFrame
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+    small_batches(docs.sparkSession)
     kind = _parse_datatype_string(ddl)
     arrow = to_arrow_type(kind)
 
