@@ -114,12 +114,35 @@ def test_quality(documents, odd, empty):
         assert Counter(tuple(r)[:6] for r in rows) == expected
         for r in rows:
             assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
-            assert r.kept == (not r.base_failed and r.repeat_covered <= 0.5 * r.n_words and r.repeat_longest <= 100)
+            assert r.kept == (not r.base_failed and r.repeat_covered <= repetition.MAX_COVERED * r.n_words and r.repeat_longest <= repetition.MAX_LONGEST)
     assert repetition.judged(empty).count() == 0
     kept = repetition.without_repetitive(odd)
     assert kept.columns == odd.columns and kept.count() == repetition.judged(odd).filter("kept").count()
 
 
+def test_covered_fraction_alone_rejects(spark):
+    """Nine passages of twelve words, twice each, in a text of 500 words: the base rules pass, the covered fraction is 0.43."""
+    rng = np.random.default_rng(2)
+    word = iter(rng.permutation(10_000).tolist())
+    passages = [[f"p{next(word)}" for _ in range(12)] for _ in range(9)]
+    words = []
+    for p in passages + passages:
+        words += p + [f"w{next(word)}" for _ in range(15)]
+    words += [f"w{next(word)}" for _ in range(500 - len(words))]
+    r = repetition.judged(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")).first()
+    assert r.n_words == 500 and r.repeat_covered == 216 and r.repeat_longest == 12 and not r.base_failed and not r.kept
+    assert repetition.judged(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), max_covered=0.5).first().kept
+
+
+def test_repeats_of_a_very_long_text():
+    """A million words; a passage of 70,000 occurs twice."""
+    rng = np.random.default_rng(8)
+    words = rng.integers(0, 50_000, 1_000_000)
+    words[900_000:970_000] = words[100_000:170_000]
+    best = repetition.longest_repeats(words, np.zeros(len(words), dtype=np.int64))
+    assert best.max() >= 70_000 and best[100_000] >= 70_000 and best[900_000] == best[100_000] and int((best >= 1000).sum()) < 141_000
+
+
 def check_packing(df, byte_tokenizer, window=2048):
     rows = packing.pack(df, BYTE, window).collect()
     pool = Counter()
@@ -237,6 +260,44 @@ def test_sharding(spark, documents, odd, empty, tmp_path):
     assert place("again") == place("0")
 
 
+def test_shards_computed_again(spark, documents, tmp_path):
+    """Bucket, permutation and place of every record, worked out row by row."""
+    sharding.write_shards(documents, f"file://{tmp_path}/s", shards=5, seed=3, bucket_bytes=20_000)
+    rows = spark.read.parquet(f"file://{tmp_path}/s").collect()
+    h = {(r.doc_id, r.text): (r.h, r.s) for r in documents.selectExpr("doc_id", "text", "xxhash64(doc_id, text) h", "xxhash64(xxhash64(doc_id, text), 3) s").collect()}
+    size = sum(len((t or "").encode()) + 16 for _, t in h)
+    buckets = {}
+    for record, (name, scattered) in h.items():
+        buckets.setdefault(scattered % -(-size // 20_000), []).append((record[0], name, record))
+    order = []
+    for b in sorted(buckets):
+        records = [x[2] for x in sorted(buckets[b], key=lambda x: x[:2])]
+        order += [records[i] for i in sharding.fisher_yates(len(records), 3, b)]
+    small, large = divmod(len(order), 5)
+    ends = np.cumsum([small + (s < large) for s in range(5)])
+    shard = lambda g: int(np.searchsorted(ends, g, side="right"))
+    expected = {r: (shard(g), g - (int(ends[shard(g) - 1]) if shard(g) else 0)) for g, r in enumerate(order)}
+    assert {(r.doc_id, r.text): (r.shard, r.slot) for r in rows} == expected
+
+
+def test_copies_are_scattered(spark, tmp_path):
+    rows = spark.range(100_000, numPartitions=4).selectExpr("cast(1 as bigint) doc_id", "'one and the same record' text").unionByName(spark.range(2000).selectExpr("id doc_id", "'own' text"))
+    sharding.write_shards(rows, f"file://{tmp_path}/c", bucket_bytes=50_000)
+    sizes = [r["count"] for r in spark.read.parquet(f"file://{tmp_path}/c").groupBy("bucket").count().collect()]
+    assert sum(sizes) == 102_000 and max(sizes) < 2 * sum(sizes) / len(sizes) and len(sizes) > 50
+
+
+def test_equal_rows_share_the_token_file(spark, tmp_path):
+    rows = spark.range(20_000, numPartitions=4).selectExpr("cast(null as bigint) doc_id", "'one and the same record' text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the table is too small to be left apart otherwise
+    try:
+        token_files.write_token_file(rows, f"file://{tmp_path}/t", BYTE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(f"file://{tmp_path}/t").groupBy("part").sum("n_ids").collect()
+    assert len(parts) > 1 and token_files.read_token_file(spark, f"file://{tmp_path}/t").count() == 20_000
+
+
 def test_fisher_yates_is_a_permutation():
     assert sorted(sharding.fisher_yates(100, 1, 2)) == list(range(100))
     assert (sharding.fisher_yates(100, 1, 2) == sharding.fisher_yates(100, 1, 2)).all()
