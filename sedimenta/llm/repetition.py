@@ -24,7 +24,7 @@ SYMBOLS = b"#*$%&|<>"
 CHUNK_WORDS = 300_000
 
 MIN_REPEAT = 8  # words; shorter repeats are common turns of phrase
-MAX_COVERED = 0.50  # of a text's words
+MAX_COVERED = 0.30  # of a text's words; the base rule allows half of them in repeats of three words
 MAX_LONGEST = 100  # words
 
 
@@ -42,7 +42,8 @@ def longest_repeats(words: np.ndarray, document: np.ndarray) -> np.ndarray:
     sorted_key = key[sa]
     new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
     place = np.arange(n)
-    rank = np.empty(n, dtype=np.int64)
+    # every step's ranks are kept, at four bytes a word
+    rank = np.empty(n, dtype=np.int32 if n < 1 << 31 else np.int64)
     rank[sa] = np.maximum.accumulate(np.where(new, place, 0))
     levels = [rank]
     tied = place[~(new & np.r_[new[1:], True])]
@@ -152,7 +153,8 @@ def judged(
     """One row for each row of ``docs(doc_id, text)``: its measures, ``base_failed`` and ``kept``.
 
     A text that passes the base rules is kept if the fraction of its words covered by repeats and its longest
-    repeat are within the limits.  Empty and null texts fail.
+    repeat are within the limits.  Empty and null texts fail; repeated rows and doc_ids keep a row each; an empty
+    table gives no rows.
     """
     m = with_measures(own_columns(docs, doc_id="doc_id", text="text"), "m", min_repeat)
     kept = ~_failed("m") & _calm("m", max_covered, max_longest)
@@ -162,7 +164,10 @@ def judged(
 def without_repetitive(
     docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST
 ) -> DataFrame:
-    """The rows of ``docs`` that :func:`judged` keeps, unchanged."""
+    """The rows of ``docs`` that :func:`judged` keeps, unchanged, whatever their columns are called.
+
+    Null and empty texts go, repeated rows share their fate, an empty table stays empty.
+    """
     m = free_name(docs, "measures")
     kept = ~_failed(m) & _calm(m, max_covered, max_longest)
     return with_measures(docs, m, min_repeat).filter(kept).select(*docs.columns)
