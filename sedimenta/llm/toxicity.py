@@ -5,7 +5,8 @@ a blank, so that `1d10t` and `idiot` are one word.  Lexicon entries are whole wo
 weight of an entry is its log-odds among labelled texts.  Matches inside an exception phrase don't count.
 The weights of a text's matches are added, normalised by its length, and mapped to 0..1.
 
-The lexicon is learned from a bounded number of labelled rows (``FIT_ROWS``); scoring covers every row.
+The lexicon is learned from a bounded number of labelled rows (``FIT_ROWS``, one for each doc_id); nothing else
+bounds it, and scoring covers every row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm.common import free_name, own_columns, table, with_text_column
 
 FIT_ROWS = 16_000  # labelled rows the lexicon is fitted on, at most
-SHORTLIST = 60_000  # candidate entries that are counted in clean texts, at most
+CHANCE = 3  # how much rarer than once among all candidates an entry's share must be by chance, in powers of e
 THRESHOLD = 0.7
 EXPONENTS = (0.1, 0.25, 0.5)
 STEMS = range(4, 9)
@@ -119,12 +120,14 @@ def _unlearnable(doc_id: str) -> F.Column:
 def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """``text, toxic`` of labelled rows whose crc32(doc_id) mod 3 isn't 1: all, or ``fit_rows`` of them by hash.
 
-    Rows with a null doc_id, label or text aren't learned from; an id with several labels counts as toxic if any is.
+    Rows with a null doc_id, label or text aren't learned from; an id with several labels counts as toxic if any
+    is, an id with several texts gives the one with the smallest hash.
     """
     known = labels.select("doc_id", "toxic").filter("doc_id is not null and toxic is not null").filter(~_unlearnable("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     texts = own_columns(docs, doc_id="doc_id", text="text").filter("text is not null")
-    return texts.join(F.broadcast(known), "doc_id").select("text", "toxic")  # fit_rows ids and labels, 16 bytes each
+    texts = texts.join(F.broadcast(known), "doc_id")  # fit_rows ids and labels, 16 bytes each
+    return texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexicon:
@@ -163,7 +166,13 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexic
             .groupBy("entry").agg(F.sum("n").alias("n"), F.bit_count(F.bit_or("bits")).alias("varied"))
             .filter("n >= 3 and varied >= 3")
         )
-        support = {r.entry: (r.n, min(r.n, r.varied if r.varied < 30 else r.n)) for r in counted.orderBy(F.desc("n"), "entry").limit(SHORTLIST).collect()}
+        counted = counted.select("entry", "n", F.when(F.col("varied") < 30, F.least("n", "varied")).otherwise(F.col("n")).alias("s"))
+        counted = counted.persist(StorageLevel.DISK_ONLY)
+        candidates = counted.count()
+        # even without a clean text an entry needs this support to be beyond chance
+        least = bar(candidates) / -math.log(base_rate(n_toxic, n_clean))
+        support = {r.entry: (r.n, r.s) for r in counted.filter(F.col("s") >= math.floor(least)).collect()}
+        counted.unpersist()
         wanted = set(support)
 
         def clean_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,17 +184,27 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Lexic
 
         clean = rows.filter("toxic <= 0").select("text").mapInArrow(clean_features, "entry string, n long")
         harmless = {r.entry: r.n for r in clean.groupBy("entry").agg(F.sum("n").alias("n")).collect()}
-        weights = select_entries(support, harmless, n_toxic, n_clean)
+        weights = select_entries(support, harmless, n_toxic, n_clean, candidates)
         lexicon = Lexicon(weights)
         return calibrate(lexicon, rows)
     finally:
         rows.unpersist()
 
 
-def select_entries(support: dict[str, tuple[int, int]], harmless: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
-    """Entries and weights from counts; see :func:`learn`."""
-    base = (n_toxic + 1) / (n_toxic + n_clean + 2)
-    bar = math.log(max(2, len(support))) + 3
+def base_rate(n_toxic: int, n_clean: int) -> float:
+    return (n_toxic + 1) / (n_toxic + n_clean + 2)
+
+
+def bar(candidates: int) -> float:
+    """What an entry's surprise must exceed, by the number of candidates."""
+    return math.log(max(2, candidates)) + CHANCE
+
+
+def select_entries(
+    support: dict[str, tuple[int, int]], harmless: dict[str, int], n_toxic: int, n_clean: int, candidates: int | None = None
+) -> dict[str, float]:
+    """Entries and weights from counts; see :func:`learn`.  ``candidates``: how many there were, if not all are given."""
+    base, least = base_rate(n_toxic, n_clean), bar(len(support) if candidates is None else candidates)
     strong = {}
     for entry, (_, s) in support.items():
         bad = harmless.get(entry, 0)
@@ -193,7 +212,7 @@ def select_entries(support: dict[str, tuple[int, int]], harmless: dict[str, int]
         if share <= max(base, 0.6):
             continue
         surprise = s * math.log(share / base) + (bad * math.log((1 - share) / (1 - base)) if bad else 0)
-        if surprise > bar:
+        if surprise > least:
             strong[entry] = s
     # the longest forms that keep the support of their beginnings, then no entry that begins with another
     kept = dict(strong)
@@ -253,7 +272,7 @@ def _phrases(lexicon: Lexicon, rows: DataFrame) -> list[str]:
 
     seen = rows.select("text", F.col("toxic").cast("long")).mapInArrow(run, "phrase string, toxic long").groupBy("phrase")
     seen = seen.agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n")).filter("toxic = 0 and n >= 3")
-    return sorted(r.phrase for r in seen.orderBy(F.desc("n"), "phrase").limit(1000).collect())
+    return sorted(r.phrase for r in seen.collect())
 
 
 def with_raw(docs: DataFrame, lexicon: Lexicon, name: str) -> DataFrame:
@@ -278,7 +297,8 @@ def _score(raw: F.Column, lexicon: Lexicon) -> F.Column:
 def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs(doc_id, text)``.
 
-    Null and empty texts score 0.  A null doc_id isn't held out.
+    Null and empty texts score 0.  A null doc_id isn't held out.  Repeated rows keep a row each; an empty table
+    gives no rows; other columns don't matter.
     """
     rows = raw_scores(own_columns(docs, doc_id="doc_id", text="text"), lexicon, "doc_id")
     held_out = F.coalesce(_unlearnable("doc_id"), F.lit(False)).alias("held_out")
@@ -287,7 +307,10 @@ def scored(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs`` that score under the threshold, unchanged."""
+    """The rows of ``docs`` that score under the threshold, unchanged, whatever their columns are called.
+
+    Null and empty texts score 0 and stay, repeated rows share their fate, an empty table stays empty.
+    """
     name = free_name(docs, "raw")
     return with_raw(docs, lexicon, name).filter(_score(F.col(name), lexicon) < THRESHOLD).select(*docs.columns)
 
