@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import own_columns, shared_dir, table
+from sedimenta.llm.common import own_columns, shared_dir, sliced, table
 from sedimenta.llm.token_ids import encoder, tokenizer_path
 
 BLOCK = 256
@@ -110,15 +110,18 @@ def unpack(payload: bytes, block: int = BLOCK) -> np.ndarray:
 def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
     """Encode ``docs(doc_id, text)``, append ``end_id`` to each, and write frames in ascending doc_id order.
 
-    Rows are dealt by ranges of doc_id and sorted inside a range, so frames in order of (part, seq) are in
-    order of doc_id.  A null text counts as empty; repeated doc_ids stay separate, ordered by text.  A task
-    holds one batch and one frame; a text longer than a frame makes a frame of its own.
+    Rows are dealt by ranges of (doc_id, hash of the text, a number) and sorted inside a range, so frames in
+    order of (part, seq) are in order of doc_id and even equal rows don't stay in one range.  A null text counts
+    as empty; repeated doc_ids stay separate, ordered by the text's hash.  A task holds one batch and one frame;
+    a text longer than a frame makes a frame of its own.  An empty table writes no frames.
     """
     ordered = (
         own_columns(docs, doc_id="doc_id", text="text")
         .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange("doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("h", F.xxhash64("text"))
+        .repartitionByRange("doc_id", "h", F.monotonically_increasing_id())
+        .sortWithinPartitions("doc_id", "h")
+        .select("doc_id", "text")
     )
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +137,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
                 names=["part", "seq", "inside", "n_ids", "doc_ids", "lengths", "payload"],
             )
 
-        for batch in batches:
+        for batch in sliced(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), (encode(t.as_py()) for t in batch.column(1))):
                 ids += end
                 if n and n + len(ids) // 4 > FRAME_IDS:
