@@ -154,10 +154,11 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Each round takes the smallest label among the neighbours and then follows the label's own label,
     so that long chains halve.  Only minima are aggregated (map-side first), no adjacency list is ever
     gathered, and each round is cut by a checkpoint.  Empty input gives an empty result; self loops and
-    repeated edges are harmless.
+    repeated edges are harmless.  ``edges`` is worked out once: links that only connect may be others each time.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = cut(both.filter("a is not null and b is not null").distinct())
+    turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = edges.filter("a is not null and b is not null").select(F.explode(F.array(F.struct("a", "b"), turned)).alias("edge"))
+    both = cut(both.select("edge.*").distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("l")))
     for _ in range(rounds):
         near = (

@@ -5,6 +5,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -39,6 +40,20 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_links_that_differ_each_time(spark):
+    """Links that only connect may be others when they are worked out again, as those of a crowd are."""
+
+    def star(batches):
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            middle = random.SystemRandom().choice(ids)
+            rest = [i for i in ids if i != middle]
+            yield pa.RecordBatch.from_arrays([pa.array([middle] * len(rest), pa.int64()), pa.array(rest, pa.int64())], names=["a", "b"])
+
+    found = connected_components(spark.range(0, 500, 1, 1).mapInArrow(star, "a long, b long")).collect()
+    assert sorted(tuple(r) for r in found) == [(i, 0) for i in range(500)]
+
+
 def brute_fingerprint(text):
     import re
 
