@@ -138,9 +138,14 @@ def _least(n: int, similarity: float) -> int:
 VALUE_BITS = 61  # of a shingle's hash; two bits above them rank it by how common it is
 
 
+def _distinct(hashes: np.ndarray) -> np.ndarray:
+    """Distinct shingle hashes, ascending, as positive numbers of ``VALUE_BITS`` bits."""
+    return np.unique(hashes & np.uint64((1 << VALUE_BITS) - 1)).view(np.int64)
+
+
 def _shingle_set(words: list[bytes], shingle: int) -> np.ndarray:
-    """The distinct shingles of a text, ascending, as positive numbers of ``VALUE_BITS`` bits."""
-    return np.unique(shingle_hashes(words, shingle) & np.uint64((1 << VALUE_BITS) - 1)).view(np.int64)
+    """The distinct shingles of a text; see :func:`_distinct`."""
+    return _distinct(shingle_hashes(words, shingle))
 
 
 def _prefix(values: np.ndarray, similarity: float, common: list[np.ndarray]) -> np.ndarray:
@@ -152,7 +157,7 @@ def _prefix(values: np.ndarray, similarity: float, common: list[np.ndarray]) ->
 
 
 def prefixes(docs: DataFrame, shingle: int, similarity: float, common: list[dict[int, bytes]]) -> DataFrame:
-    """``doc_id, node, second, n, prefix``: two names for the text's words, its distinct shingles and the first of them.
+    """``doc_id, node, second, fp, n, prefix``: two names for the text's words, its fingerprint, its distinct shingles and the first of them.
 
     Shingles are in one order for all texts: by the number of bitmaps of ``common`` that hold them (three at
     most), then by hash.  Two sets that are ``similarity`` alike share all but ``n - least`` of either's shingles,
@@ -163,18 +168,21 @@ def prefixes(docs: DataFrame, shingle: int, similarity: float, common: list[dict
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = [bits_of(held) for held in common]
         for batch in sliced(batches):
-            nodes, seconds, sizes, firsts = [], [], [], []
+            nodes, seconds, fps, sizes, firsts = [], [], [], [], []
             for text in batch.column(1):
                 words = _words(text.as_py())
-                values = _shingle_set(words, shingle)
+                hashes = shingle_hashes(words, shingle)
+                values = _distinct(hashes)
                 nodes.append(_node(words))
                 seconds.append(_node(words, 2))
+                fps.append(majority(hashes))
                 sizes.append(len(values))
                 firsts.append(_prefix(values, similarity, bits))
-            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "second", "n", "prefix"])
+            signed = pa.array(np.array(fps, dtype=np.uint64).astype(np.int64))
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(seconds, pa.int64()), signed, pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "second", "fp", "n", "prefix"])
 
-    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, node long, second long, n int, prefix array<long>")
+    return own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "doc_id long, node long, second long, fp long, n int, prefix array<long>")
 
 
 def common_shingles(docs: DataFrame, shingle: int, similarity: float) -> list[dict[int, bytes]]:
@@ -190,12 +198,14 @@ def common_shingles(docs: DataFrame, shingle: int, similarity: float) -> list[di
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found) if found else [], pa.int64())], names=["id"])
 
     counted = own_columns(docs, doc_id="doc_id", text="text").mapInArrow(run, "id long").groupBy("id").agg(F.count("*").alias("df")).filter("df > 1")
-    counted = cut(counted)
+    counted = stored(counted, "counted-shingles")
     by_size = {r.p: r.n for r in counted.groupBy(F.floor(F.log2("df")).alias("p")).agg(F.count("*").alias("n")).collect()}
     least, most = 1, (1 << FILTER_BITS) // 4
     while sum(n for p, n in by_size.items() if p >= least) > most:
         least += 1
-    return [id_filter(counted.filter(F.col("df") >= 1 << (least + 2 * k)).select("id")) for k in range(3)]
+    filters = [id_filter(counted.filter(F.col("df") >= 1 << (least + 2 * k)).select("id")) for k in range(3)]
+    discard(counted)
+    return filters
 
 
 def _shingle_sets(docs: DataFrame, shingle: int, wanted: dict[int, bytes]) -> DataFrame:
@@ -307,27 +317,84 @@ CROWDED = 32  # texts of a posting list that are still paired one by one
 PART = 1024  # texts of a crowd that a task compares with as many others
 
 
+def _fingerprint_pairs(heads: DataFrame) -> DataFrame:
+    """``a, b``: for each text ``b`` of ``heads(node, fp)`` the first text of its SimHash class (see :func:`links`), if that is another."""
+    fps = cut(heads.groupBy("fp").agg(F.min("node").alias("least")))
+    classes = connected_components(links(fps.select("fp")))
+    placed = fps.join(classes, fps.fp == classes.v, "left").select("fp", "least", F.coalesce("component", "fp").alias("c"))
+    first = placed.join(placed.groupBy("c").agg(F.min("least").alias("a")), "c").select("fp", "a")
+    return heads.join(first, "fp").select("a", F.col("node").alias("b")).filter("a <> b")
+
+
+def _list_pairs(short: DataFrame) -> DataFrame:
+    """``a, b``: for each text ``b`` of posting lists ``short(node, least)`` the least text of a list, of that it meets most often."""
+    met = short.filter("node <> least").groupBy("node", "least").agg(F.count("*").alias("hits"))
+    most = met.groupBy("node").agg(F.max(F.struct("hits", "least")).alias("most"))
+    return most.select(F.col("most.least").alias("a"), F.col("node").alias("b"))
+
+
+def _sets_of(docs: DataFrame, shingle: int, *ids: DataFrame) -> DataFrame:
+    """Stored :func:`_shingle_sets` of the texts that the first columns of ``ids`` name."""
+    wanted = ids[0].toDF("id")
+    for more in ids[1:]:
+        wanted = wanted.unionByName(more.toDF("id"))
+    return stored(_shingle_sets(docs, shingle, id_filter(wanted)), "shingle-sets")
+
+
+def _met(short: DataFrame, ends: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of different classes ``c`` that their tally in ``short(key, node, n, at, c)`` allows to be alike.
+
+    Lists are short, so each is gathered, once, and its pairs are made in place.
+    """
+    lists = short.groupBy("key").agg(F.collect_list(F.struct("node", "n", "at", "c")).alias("texts"), F.min("c").alias("low"), F.max("c").alias("high"))
+    both = lists.filter("low <> high").select(F.explode("texts").alias("x"), "texts").select("x", F.explode("texts").alias("y"))
+    side = lambda s, x: [F.col(f"{x}.node").alias(s), *[F.col(f"{x}.{c}").alias(f"{s}_{c}") for c in ("n", "at")]]
+    both = both.filter("x.node < y.node and x.c <> y.c").select(*side("a", "x"), *side("b", "y"))
+    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
+    needed = F.ceil((F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9)  # shingles a pair must share
+    # of what stands before the common shingle, and after it, a pair can share as much as the shorter stretch
+    possible = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
+    met = both.filter(alike & (possible >= needed))
+    # the first common shingle leaves room for all the others
+    room = F.max(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))).alias("room")
+    tallied = met.groupBy("a", "b").agg(F.count("*").alias("shared"), room)
+    end_of = lambda s: ends.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "held", "end")])
+    tallied = tallied.join(end_of("a"), "a").join(end_of("b"), "b")
+    rest = F.when(F.col("a_end") < F.col("b_end"), F.col("a_n") - F.col("a_held")).when(
+        F.col("a_end") > F.col("b_end"), F.col("b_n") - F.col("b_held")
+    ).otherwise(F.least(F.col("a_n") - F.col("a_held"), F.col("b_n") - F.col("b_held")))
+    return tallied.filter((F.col("room") >= needed) & (F.col("shared") + rest >= needed)).select("a", "b")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, crowded: int = CROWDED, part: int = PART) -> DataFrame:
     """``doc_id, component_id`` of every row: classes of texts whose shingle sets are at least ``similarity`` alike.
 
-    Texts are posted under the shingles of their prefix (see :func:`prefixes`), so every such pair meets; no pair
-    is lost.  Texts that meet in short lists only are paired and tallied by the shingles their prefixes share: of
-    two prefixes the one that ends first holds all common shingles up to its end, and beyond it at most the rest
-    of its text's can be common.  What the tally allows is verified.  Texts that a list of more than ``crowded``
-    joins are a crowd: all its pairs are compared in memory, part by part, and only links that connect come out.
-    Texts without words, null ones too, are one class.  Repeated rows keep a row each; an empty table gives none.
+    First the texts' fingerprints are linked through the byte-position index, as :func:`near_duplicates` does, and
+    every text is verified against the first one of its class.  Fingerprints can't bound how alike sets are, so an
+    exact way follows for the rest: texts are posted under the shingles of their prefix (see :func:`prefixes`),
+    where every pair meets; no pair is lost.  What no fingerprint linked is verified against the least text of the
+    lists it is in, so that near copies of each other soon are one class, and only pairs of different classes are
+    then tallied by the shingles their prefixes share: of two prefixes the one that ends first holds all common
+    shingles up to its end, and beyond it at most the rest of its text's can be common.  What the tally allows is
+    verified.  Texts that a list of more than ``crowded`` joins are a crowd: all its pairs are compared in memory,
+    part by part, and only links that connect come out.  Texts without words, null ones too, are one class.
+    Repeated rows keep a row each; an empty table gives none.
     """
-    rows = stored(prefixes(docs, shingle, similarity, common_shingles(docs, shingle, similarity)), "prefixes")
+    held = stored(prefixes(docs, shingle, similarity, common_shingles(docs, shingle, similarity)), "prefixes")
+    rows = stored(held.select("doc_id", "node"), "names")
     seconds = (F.min("second").alias("low"), F.max("second").alias("high"))
-    heads = rows.groupBy("node").agg(F.min("doc_id").alias("head"), F.first(F.struct("n", "prefix")).alias("s"), *seconds)
+    firsts = held.groupBy("node").agg(F.min("doc_id").alias("head"), F.first(F.struct("fp", "n", "prefix")).alias("s"), *seconds)
     # different texts under one name, rare as they are, take no part and stay
-    heads = stored(heads.filter("low = high").select("node", "head", "s.*"), "heads")
-    ends = heads.select("node", "n", F.size("prefix").alias("held"), F.try_element_at("prefix", F.lit(-1)).alias("end")).filter("n > 0")
+    firsts = stored(firsts.filter("low = high").select("node", "head", "s.*"), "heads")
+    discard(held)
+    end = F.try_element_at("prefix", F.lit(-1)).alias("end")
+    heads = stored(firsts.select("node", "head", "fp", "n", F.size("prefix").alias("held"), end), "texts")
 
     # keys of one text only are of no use
-    postings = heads.select("node", "n", F.posexplode("prefix").alias("at", "key"))
-    sizes = postings.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    postings = firsts.select("node", "n", F.posexplode("prefix").alias("at", "key"))
+    sizes = stored(postings.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1"), "list-sizes")
     shared = stored(postings.join(sizes, "key"), "shared-postings")
+    discard(firsts, sizes)
 
     # long lists with a text in common make one crowd; copies of each other name the same few pairs of lists
     long = shared.filter(F.col("size") > crowded).select("node", "key")
@@ -336,32 +403,29 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     lists = connected_components(joint).withColumnRenamed("v", "least")
     crowds = cut(least.join(lists, "least", "left").select("node", F.coalesce("component", "least").alias("crowd")))
 
+    # one pair a text: by fingerprint, else by its lists
     short = shared.filter(F.col("size") <= crowded)
-    left = lambda s: short.select("key", F.col("node").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("n", "at")])
-    alike = F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - 1e-9
-    needed = F.ceil((F.col("a_n") + F.col("b_n")) * (similarity / (1 + similarity)) - 1e-9)  # shingles a pair must share
-    # of what stands before the common shingle, and after it, a pair can share as much as the shorter stretch
-    possible = F.least("a_at", "b_at") + F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))
-    met = left("a").join(left("b"), "key").filter("a < b").filter(alike & (possible >= needed))
-    # the first common shingle leaves room for all the others
-    room = F.max(F.least(F.col("a_n") - F.col("a_at"), F.col("b_n") - F.col("b_at"))).alias("room")
-    tallied = met.groupBy("a", "b").agg(F.count("*").alias("shared"), room)
-    side = lambda s: ends.select(*[F.col(c).alias(f"{s}_{c}" if c != "node" else s) for c in ends.columns])
-    tallied = tallied.join(side("a"), "a").join(side("b"), "b")
-    rest = F.when(F.col("a_end") < F.col("b_end"), F.col("a_n") - F.col("a_held")).when(
-        F.col("a_end") > F.col("b_end"), F.col("b_n") - F.col("b_held")
-    ).otherwise(F.least(F.col("a_n") - F.col("a_held"), F.col("b_n") - F.col("b_held")))
-    pairs = cut(tallied.filter((F.col("room") >= needed) & (F.col("shared") + rest >= needed)).select("a", "b"))
+    hashed = cut(_fingerprint_pairs(heads.filter("n > 0").select("node", "fp")))
+    pairs = cut(hashed.unionByName(_list_pairs(short).join(hashed.select("b"), "b", "left_anti")))
+    sets = _sets_of(docs, shingle, pairs.select("a"), pairs.select("b"), crowds.select("node"))
+    edges = cut(_verified(sets, pairs, similarity).unionByName(_crowd_links(sets, crowds, similarity, part)))
+    discard(sets)
+
+    # all other pairs
+    classes = connected_components(edges).select(F.col("v").alias("node"), F.col("component").alias("c"))
+    apart = stored(short.join(classes, "node", "left").select("key", "node", "n", "at", F.coalesce("c", "node").alias("c")), "short-postings")
+    discard(shared)
+    pairs = cut(_met(apart, heads.filter("n > 0").select("node", "n", "held", "end"), similarity))
+    discard(apart)
+    sets = _sets_of(docs, shingle, pairs.select("a"), pairs.select("b"))
+    edges = edges.unionByName(_verified(sets, pairs, similarity))
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(crowds.select(F.col("node").alias("id")))
-    sets = stored(_shingle_sets(docs, shingle, id_filter(ids)), "shingle-sets")
-    edges = _verified(sets, pairs, similarity).unionByName(_crowd_links(sets, crowds, similarity, part))
     classes = connected_components(edges).select(F.col("v").alias("node"), "component")
     placed = heads.select("node", "head").join(classes, "node", "left").select("node", "head", F.coalesce("component", "node").alias("c"))
     first = placed.groupBy("c").agg(F.min("head").alias("component_id"))
     found = placed.join(first, "c").select("node", "component_id")
     result = cut(rows.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id")))
-    discard(rows, heads, shared, sets)
+    discard(rows, heads, sets)
     return result
 
 

@@ -168,6 +168,54 @@ def test_similar_documents_that_repeat_a_passage(spark):
     assert sorted(tuple(r) for r in simhash.similar_documents(df).collect()) == [(d, d - d % 2) for d, _ in rows]
 
 
+def test_near_copies_are_not_verified_pair_by_pair(spark, monkeypatch):
+    """Lists of up to 32 near copies: about one pair a text is verified, and all copies are one class."""
+    rng = random.Random(3)
+    rows = []
+    for group in range(5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        for copy in range(20):
+            words = list(base)
+            words[rng.randrange(300)] = f"x{copy}"
+            words[rng.randrange(300)] = f"y{copy}"
+            rows.append((20 * group + copy, " ".join(words)))
+    verified, seen = simhash._verified, []
+
+    def counting(sets, pairs, similarity):
+        seen.append(pairs.count())
+        return verified(sets, pairs, similarity)
+
+    monkeypatch.setattr(simhash, "_verified", counting)
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in found) == [(d, d - d % 20) for d, _ in rows]
+    assert sum(seen) <= 2 * len(rows)  # 950 pairs are alike
+
+
+def test_similar_documents_link_fingerprints_first(spark, monkeypatch):
+    """What the byte-position index links is verified; texts that it links but that aren't alike stay apart."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "end"])), (2, " ".join(f"v{i}" for i in range(400)))]
+    fps = [simhash.fingerprint(t, 5) for _, t in rows]
+    assert (fps[0] ^ fps[1]).bit_count() <= 2 < (fps[0] ^ fps[2]).bit_count()
+    linked, links = [], simhash.links
+
+    def noted(fps, *more):
+        found = links(fps, *more)
+        linked.append({frozenset(r) for r in found.collect()})
+        return found
+
+    monkeypatch.setattr(simhash, "links", noted)
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 0), (1, 0), (2, 2)]
+    signed = [int(np.uint64(x).astype(np.int64)) for x in fps]
+    assert signed[0] == signed[1] or linked == [{frozenset(signed[:2])}]
+    assert len(linked) == 1
+    # every fingerprint linked with every other one: only texts that are alike become one class
+    monkeypatch.setattr(simhash, "links", lambda fps, *more: fps.crossJoin(fps.toDF("g")).filter("fp < g").toDF("a", "b"))
+    found = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
 def test_linking_pairs_connect_what_all_pairs_do():
     rng = np.random.default_rng(5)
     base = np.unique(rng.integers(0, 2**60, 120))
