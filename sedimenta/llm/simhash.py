@@ -407,8 +407,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     short = shared.filter(F.col("size") <= crowded)
     hashed = cut(_fingerprint_pairs(heads.filter("n > 0").select("node", "fp")))
     pairs = cut(hashed.unionByName(_list_pairs(short).join(hashed.select("b"), "b", "left_anti")))
-    sets = _sets_of(docs, shingle, pairs.select("a"), pairs.select("b"), crowds.select("node"))
-    edges = cut(_verified(sets, pairs, similarity).unionByName(_crowd_links(sets, crowds, similarity, part)))
+    sets = _sets_of(docs, shingle, pairs.select("a"), pairs.select("b"))
+    edges = cut(_verified(sets, pairs, similarity))
+    discard(sets)
+    sets = _sets_of(docs, shingle, crowds.select("node"))
+    edges = edges.unionByName(cut(_crowd_links(sets, crowds, similarity, part)))
     discard(sets)
 
     # all other pairs
