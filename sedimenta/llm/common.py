@@ -76,13 +76,16 @@ def discard(*stores: DataFrame) -> None:
 
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let the session pass at most ``BATCH_ROWS`` rows at once to Python: executors hold batches beside their heap."""
+    """Let the session pass few rows and bytes at once to Python: executors hold batches beside their heap."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, spark.conf.get(name, str(BATCH_BYTES)))
 
 
 def own_columns(df: DataFrame, **columns) -> DataFrame:
@@ -110,11 +113,14 @@ def with_text_column(docs: DataFrame, name: str, ddl: str, prepare) -> DataFrame
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+    from sedimenta.llm.token_ids import forget_encoders
+
     small_batches(docs.sparkSession)
     kind = _parse_datatype_string(ddl)
     arrow = to_arrow_type(kind)
 
     def run(batches):
+        forget_encoders()
         values_of = prepare()
         for batch in sliced(batches):
             values = values_of(batch.column(batch.schema.get_field_index("text")).to_pylist())

@@ -9,6 +9,9 @@ model, others through its whole encoder.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import re
 from array import array
@@ -19,7 +22,7 @@ _BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _MARKS = ".,;:!?"
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 SLICE = 2 << 20  # characters
-CACHE_BYTES = 96 << 20  # of a worker, whatever the input
+CACHE_BYTES = 48 << 20  # of a worker, whatever the input
 ENTRY = 200  # bytes of a dictionary's entry, its key and its value beside their contents
 
 
@@ -139,6 +142,15 @@ class ChunkEncoder:
         return b"".join(out)
 
 
+def forget_encoders() -> None:
+    """Give back what this worker's encoders hold; workers live on and serve the next operator."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # another C library keeps it for itself
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def encoder(path: str, most: int = CACHE_BYTES) -> ChunkEncoder:
     """One encoder for each worker process and tokenizer file."""
     key = (path, most)

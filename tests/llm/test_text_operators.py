@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from sedimenta.llm import bpe, licenses, packing, repetition, sharding, token_files
+from sedimenta.llm import bpe, licenses, packing, repetition, sharding, token_files, token_ids
 from sedimenta.llm.token_ids import ChunkEncoder, tokenizer_path
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
@@ -302,3 +302,12 @@ def test_fisher_yates_is_a_permutation():
     assert sorted(sharding.fisher_yates(100, 1, 2)) == list(range(100))
     assert (sharding.fisher_yates(100, 1, 2) == sharding.fisher_yates(100, 1, 2)).all()
     assert (sharding.fisher_yates(100, 1, 2) != sharding.fisher_yates(100, 1, 3)).any()
+
+
+def test_workers_give_encoders_back():
+    """A worker that goes on with another operator keeps no encoder; ids are the same afterwards."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    ids = token_ids.encoder(path).encode("some words, again and again")
+    assert token_ids._ENCODERS
+    token_ids.forget_encoders()
+    assert not token_ids._ENCODERS and token_ids.encoder(path).encode("some words, again and again") == ids
