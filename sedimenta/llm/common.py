@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -48,8 +49,25 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(name, before)
 
 
+TIDY_SECONDS = 5
+_tidied = 0.0
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver's JVM collect garbage, once in ``TIDY_SECONDS`` at most.
+
+    Many short queries leave plans, broadcasts and tasks' reports behind; Spark forgets broadcasts only after a
+    collection, and without one the heap grows to its limit though little in it is alive.
+    """
+    global _tidied
+    if time.monotonic() - _tidied >= TIDY_SECONDS:
+        spark._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and forget its lineage; survives lost executors."""
+    tidy(df.sparkSession)
     shared_dir(df.sparkSession)
     with shuffles_removed(df.sparkSession):
         return df.select("*").checkpoint()
@@ -58,6 +76,7 @@ def cut(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """As :func:`cut`, but as compressed Parquet; for tables with long binary or text columns."""
     spark = df.sparkSession
+    tidy(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with shuffles_removed(spark):
         df.write.option("compression", "zstd").parquet(path)
@@ -172,16 +191,45 @@ def may_hold_each(bits, names):
     return (bits[at >> 3] >> (at & 7).astype("u1") & 1).astype(bool)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+FEW_EDGES = 300_000  # that one task holds in about 20 MB
+
+
+def _united(batches: Iterator) -> Iterator:
+    """Record batches of the components of all edges in ``batches``: every vertex and the smallest one it reaches."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = [tuple(batch.column(k).to_numpy() for k in (0, 1)) for batch in batches]
+    if not held:
+        return
+    a, b = (np.concatenate(side) for side in zip(*held))
+    names, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(names))
+    while (label[x] != label[y]).any():
+        p, q = label[x], label[y]
+        np.minimum.at(label, np.maximum(p, q), np.minimum(p, q))
+        while (label[label] != label).any():
+            label = label[label]
+    for at in range(0, len(names), BATCH_ROWS):
+        some = slice(at, at + BATCH_ROWS)
+        yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(names[label[some]])], names=["v", "component"])
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, few: int = FEW_EDGES) -> DataFrame:
     """Smallest vertex reachable from every vertex of ``edges(a, b)``; returns ``(v, component)``.
 
-    Each round takes the smallest label among the neighbours and then follows the label's own label,
+    Up to ``few`` edges between 64-bit numbers are united by one task, as rounds of many small tasks cost more
+    than that.  Otherwise each round takes the smallest label among the neighbours and then follows the label's own label,
     so that long chains halve.  Only minima are aggregated (map-side first), no adjacency list is ever
     gathered, and each round is cut by a checkpoint.  Empty input gives an empty result; self loops and
     repeated edges are harmless.  ``edges`` is worked out once: links that only connect may be others each time.
     """
+    edges = cut(edges.filter("a is not null and b is not null").select("a", "b"))
+    if [kind for _, kind in edges.dtypes] == ["bigint", "bigint"] and edges.count() <= few:
+        return cut(edges.coalesce(1).mapInArrow(_united, "v long, component long"))
     turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
-    both = edges.filter("a is not null and b is not null").select(F.explode(F.array(F.struct("a", "b"), turned)).alias("edge"))
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), turned)).alias("edge"))
     both = cut(both.select("edge.*").distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("l")))
     for _ in range(rounds):

@@ -503,3 +503,16 @@ def test_fit_takes_one_text_for_each_id(spark):
 def test_copies_of_a_text_do_not_make_entries():
     support = {" natural ": (1000, 1), " insult ": (40, 30)}
     assert set(toxicity.select_entries(support, {}, 1100, 9000)) == {" insult "}
+
+
+def test_few_edges_are_united_by_one_task(spark):
+    """The same components as the rounds give, from a few jobs whatever the length of the chains."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(-600, 600, (700, 2))] + [(k, k + 1) for k in range(5000, 5200)] + [(-(2**63), 2**63 - 1), (7000, 7000), (None, 1)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    spark.sparkContext.setJobGroup("few-edges", "")
+    few = connected_components(df)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few-edges"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, connected_components(df, few=0).collect()))
+    assert jobs <= 8
