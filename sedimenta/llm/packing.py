@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import own_columns, sliced, stored, table
-from sedimenta.llm.token_ids import encoder, tokenizer_path
+from sedimenta.llm.token_ids import CACHE_BYTES, encoder, tokenizer_path
 
 WINDOW = 2048
 END_ID = 1
@@ -89,18 +89,19 @@ def plan(histogram: dict[int, int], window: int = WINDOW) -> tuple[list[tuple[in
     return runs, tail, sequence
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = END_ID, cache: int = CACHE_BYTES) -> DataFrame:
     """One row for each piece of ``docs(doc_id, text)``; see the module's text for the method.
 
     A null or empty text is the end id alone.  Rows with the same doc_id are packed separately.  Ties
-    (equal lengths) go by input partition and position.  An empty table gives no rows.
+    (equal lengths) go by input partition and position.  An empty table gives no rows.  A worker keeps up to
+    ``cache`` bytes of ids of words.
     """
     # ids are needed once for the checksums of full windows and remainders; only those are kept
     docs = own_columns(docs, doc_id="doc_id", text="text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     end = int(end_id).to_bytes(4, "little")
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, cache).encode, TaskContext.get().partitionId()
         rank: Counter = Counter()
         n_full = 0
         for batch in sliced(batches):
@@ -184,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     texts = texts.withColumn("h", F.xxhash64("text")).dropDuplicates(["sequence", "offset", "h"]).drop("h")
 
     def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cache).encode
         for batch in sliced(batches):
             rows = []
             for row in batch.to_pylist():

@@ -22,7 +22,7 @@ _BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _MARKS = ".,;:!?"
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 SLICE = 2 << 20  # characters
-CACHE_BYTES = 48 << 20  # of a worker, whatever the input
+CACHE_BYTES = 192 << 20  # of a worker, whatever the input; given back when another operator starts
 ENTRY = 200  # bytes of a dictionary's entry, its key and its value beside their contents
 
 
@@ -62,7 +62,7 @@ class _Chunks(dict):
                 ids = None
             else:
                 ids = self.whole(self.lead + chunk)
-        self.held += ENTRY + len(chunk.encode()) + len(ids or b"")
+        self.held += ENTRY + (len(chunk) if chunk.isascii() else len(chunk.encode())) + len(ids or b"")
         if self.held > self.most:
             self.old = dict(self)
             self.clear()
@@ -96,10 +96,12 @@ class ChunkEncoder:
             return marks[text]
 
         tokenize, alphabet = tokenizer.model.tokenize, _byte_alphabet()
+        blank = alphabet[ord(" ")]
 
         def piece(text: str) -> bytes:
-            """Ids of a text that the splitting pattern leaves whole."""
-            return array("I", [t.id for t in tokenize(text.encode().decode("latin-1").translate(alphabet))]).tobytes()
+            """Ids of a text that the splitting pattern leaves whole, letters behind a blank or none."""
+            plain = text.replace(" ", blank) if text.isascii() else text.encode().decode("latin-1").translate(alphabet)
+            return array("I", [t.id for t in tokenize(plain)]).tobytes()
 
         self.whole, self.feed = whole, whole("\n")
         self.first, self.rest = _Chunks(short, piece, "", most // 8), _Chunks(short, piece, " ", most)

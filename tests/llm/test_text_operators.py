@@ -311,3 +311,13 @@ def test_workers_give_encoders_back():
     assert token_ids._ENCODERS
     token_ids.forget_encoders()
     assert not token_ids._ENCODERS and token_ids.encoder(path).encode("some words, again and again") == ids
+
+
+def test_encoder_holds_the_words_of_a_large_corpus():
+    """300,000 different words still are in a worker's dictionary when they come again."""
+    encoder = ChunkEncoder(BYTE)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = [a + b + c + d for a in letters for b in letters for c in letters for d in letters][:300_000]
+    ids = encoder.encode(" ".join(["x", *words]))
+    assert all(word in encoder.rest or word in encoder.rest.old for word in words)
+    assert encoder.encode(" ".join(["x", *words])) == ids
