@@ -22,7 +22,7 @@ _BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
 _MARKS = ".,;:!?"
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 SLICE = 2 << 20  # characters
-CACHE_BYTES = 192 << 20  # of a worker, whatever the input; given back when another operator starts
+CACHE_BYTES = 320 << 20  # of a worker, whatever the input; given back when another operator starts
 ENTRY = 200  # bytes of a dictionary's entry, its key and its value beside their contents
 
 
