@@ -32,6 +32,41 @@ FRAME_IDS = 1 << 16
 FRAMES = "part int, seq int, inside long, n_ids long, doc_ids array<long>, lengths array<long>, payload binary"
 
 
+def _bits(values: np.ndarray, w: int) -> bytes:
+    """Rows of numbers below ``2 ** w`` as ``w`` bits each, lowest bit first."""
+    if w in (8, 16, 32):
+        return values.astype(f"<u{w // 8}").tobytes()
+    if w > 16 or values.shape[1] % 8:
+        bits = ((values[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little").tobytes()
+    # eight numbers make w bytes: two of them a 64-bit word, then four, then eight in two words
+    pairs = values.astype("<u4", order="C").reshape(-1).view("<u8")
+    pairs = (pairs & np.uint64(0xFFFFFFFF)) | (pairs >> np.uint64(32 - w))
+    fours = pairs[::2] | (pairs[1::2] << np.uint64(2 * w))
+    eights = np.empty((len(fours) // 2, 2), dtype="<u8")
+    eights[:, 0] = fours[::2] | (fours[1::2] << np.uint64(4 * w))
+    eights[:, 1] = fours[1::2] >> np.uint64(64 - 4 * w)
+    return eights.view(np.uint8)[:, :w].tobytes()
+
+
+def _numbers(raw: bytes, rows: int, block: int, w: int) -> np.ndarray:
+    """What :func:`_bits` made ``raw`` from."""
+    if w in (8, 16, 32):
+        return np.frombuffer(raw, f"<u{w // 8}").reshape(rows, block)
+    if w > 16 or block % 8:
+        bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, -1), axis=1, count=w * block, bitorder="little")
+        return bits.reshape(rows, block, w) @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
+    eights = np.zeros((len(raw) // w, 16), dtype=np.uint8)
+    eights[:, :w] = np.frombuffer(raw, np.uint8).reshape(-1, w)
+    low, high = eights.view("<u8").T
+    out = np.empty((len(eights), 8), dtype=np.uint32)
+    mask = np.uint64((1 << w) - 1)
+    for at, four in ((0, low), (4, (low >> np.uint64(4 * w)) | (high << np.uint64(64 - 4 * w)))):
+        for k in range(4):
+            out[:, at + k] = (four >> np.uint64(k * w)) & mask
+    return out.reshape(rows, block)
+
+
 def pack(ids: np.ndarray, percentile: float = 0.95, block: int = BLOCK) -> bytes:
     """One frame from unsigned 32-bit ids; empty input gives a frame without blocks."""
     ids = np.asarray(ids, dtype=np.uint32)
@@ -49,28 +84,23 @@ def pack(ids: np.ndarray, percentile: float = 0.95, block: int = BLOCK) -> bytes
     cover = np.partition(diff, at, axis=1)[:, at]
     width = np.ceil(np.log2(cover.astype(np.float64) + 1)).astype(np.int64)
     packed: list[bytes] = [b""] * n_blocks
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         which = np.flatnonzero(width == w)
         if not w:
             continue
-        part = diff[which] & np.uint32((1 << int(w)) - 1) if w < 32 else diff[which]
-        if w in (8, 16, 32):
-            raw = part.astype(f"<u{int(w) // 8}").tobytes()
-        else:
-            bits = ((part[:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-            raw = np.packbits(bits.reshape(len(which), -1), axis=1, bitorder="little").tobytes()
-        size = int(w) * block // 8
-        for i, b in enumerate(which):
+        raw = _bits(diff[which] & np.uint32((1 << w) - 1), w)
+        size = w * block // 8
+        for i, b in enumerate(which.tolist()):
             packed[b] = raw[i * size : (i + 1) * size]
-    exc_row, exc_col = np.nonzero(diff.astype(np.uint64) >> width[:, None].astype(np.uint64))
-    starts = np.searchsorted(exc_row, np.arange(n_blocks + 1))
-    values = diff[exc_row, exc_col]
+    top = ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+    exc_row, exc_col = np.nonzero(diff > top[:, None])
+    starts = np.searchsorted(exc_row, np.arange(n_blocks + 1)).tolist()
+    values = diff[exc_row, exc_col].astype("<u4").tobytes()
+    places = exc_col.astype("<u2").tobytes()
     body, offsets, total = [], [], 0
-    for b in range(n_blocks):
+    for b, (least, w) in enumerate(zip(low.tolist(), width.tolist())):
         i, j = starts[b], starts[b + 1]
-        one = struct.pack("<IBH", low[b], width[b], j - i) + packed[b]
-        if j > i:
-            one += exc_col[i:j].astype("<u2").tobytes() + values[i:j].astype("<u4").tobytes()
+        one = struct.pack("<IBH", least, w, j - i) + packed[b] + places[2 * i : 2 * j] + values[4 * i : 4 * j]
         offsets.append(total)
         total += len(one)
         body.append(one)
@@ -83,9 +113,9 @@ def unpack(payload: bytes, block: int = BLOCK) -> np.ndarray:
         raise ValueError("not a token frame")
     n, n_blocks = struct.unpack_from("<II", payload, 4)
     base = 12 + 4 * n_blocks
-    offsets = np.frombuffer(payload, "<u4", n_blocks, 12)
+    at = [base + o for o in struct.unpack_from(f"<{n_blocks}I", payload, 12)]
     out = np.zeros((n_blocks, block), dtype=np.uint32)
-    heads = [struct.unpack_from("<IBH", payload, base + int(o)) for o in offsets]
+    heads = [struct.unpack_from("<IBH", payload, o) for o in at]
     by_width: dict[int, list[int]] = {}
     for b, (_, w, _) in enumerate(heads):
         by_width.setdefault(w, []).append(b)
@@ -93,17 +123,13 @@ def unpack(payload: bytes, block: int = BLOCK) -> np.ndarray:
         if not w:
             continue
         size = w * block // 8
-        raw = b"".join(payload[(s := base + int(offsets[b]) + 7) : s + size] for b in which)
-        if w in (8, 16, 32):
-            out[which] = np.frombuffer(raw, f"<u{w // 8}").reshape(len(which), block)
-        else:
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(len(which), size), axis=1, bitorder="little")
-            out[which] = bits.reshape(len(which), block, w) @ (np.uint32(1) << np.arange(w, dtype=np.uint32))
-    for b, (low, w, exceptions) in enumerate(heads):
-        if exceptions:
-            at = base + int(offsets[b]) + 7 + w * block // 8
-            out[b, np.frombuffer(payload, "<u2", exceptions, at)] = np.frombuffer(payload, "<u4", exceptions, at + 2 * exceptions)
-        out[b] += np.uint32(low)
+        out[which] = _numbers(b"".join(payload[(s := at[b] + 7) : s + size] for b in which), len(which), block, w)
+    patched = [(b, at[b] + 7 + w * block // 8, k) for b, (_, w, k) in enumerate(heads) if k]
+    if patched:
+        places = np.frombuffer(b"".join(payload[s : s + 2 * k] for _, s, k in patched), "<u2")
+        values = np.frombuffer(b"".join(payload[s + 2 * k : s + 6 * k] for _, s, k in patched), "<u4")
+        out[np.repeat([b for b, _, _ in patched], [k for _, _, k in patched]), places] = values
+    out += np.array([least for least, _, _ in heads], dtype=np.uint32)[:, None]
     return out.reshape(-1)[:n]
 
 
@@ -125,7 +151,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
     )
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seq, inside = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, 0
+        encode, part, seq, inside = encoder(tokenizer).encode_all, TaskContext.get().partitionId(), 0, 0
         end = int(end_id).to_bytes(4, "little")
         doc_ids, lengths, held, n = [], [], [], 0
 
@@ -138,7 +164,7 @@ def write_token_file(docs: DataFrame, path: str, tokenizer: str, end_id: int = E
             )
 
         for batch in sliced(batches):
-            for doc_id, ids in zip(batch.column(0).to_pylist(), (encode(t.as_py()) for t in batch.column(1))):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1))):
                 ids += end
                 if n and n + len(ids) // 4 > FRAME_IDS:
                     yield frame()

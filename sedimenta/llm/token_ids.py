@@ -4,7 +4,8 @@ A byte-level vocabulary whose splitting pattern lets a blank only *start* a piec
 single blank that stands between two non-blank characters; a single line feed there is a piece of its own.
 A text may therefore be cut at both and each chunk be encoded by itself: the ids are those of the whole text.  Chunks repeat, so a worker keeps
 their ids in a dictionary.  Unknown chunks of Latin letters are one piece and go straight to the library's
-model, others through its whole encoder.
+model, others through its whole encoder.  Many texts at once are cut by Arrow, so that a worker's Python sees each
+different chunk of them once.
 """
 
 from __future__ import annotations
@@ -17,9 +18,13 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
 _BREAK = re.compile(r"(?<=\S)([ \n])(?=\S)")
-_MARKS = ".,;:!?"
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # without the apostrophe, which may draw letters to itself
 _ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 SLICE = 2 << 20  # characters
 CACHE_BYTES = 320 << 20  # of a worker, whatever the input; given back when another operator starts
@@ -89,7 +94,7 @@ class ChunkEncoder:
 
         def short(text: str) -> bytes:
             """Marks come again and again."""
-            if len(text) > 2:
+            if len(text) > 2 and (len(text) > 3 or text.strip(_MARKS)):
                 return whole(text)
             if text not in marks:
                 marks[text] = whole(text)
@@ -114,6 +119,36 @@ class ChunkEncoder:
             return b"".join(self._slices(text))
         return self._slice(text, False)
 
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text of an array, as :meth:`encode` gives them.
+
+        All texts are cut at once and each different chunk of them is looked up once.  A chunk that starts a line
+        keeps its line feed; a text starts as a line does, and the ids of that feed are left out again.
+        """
+        if not len(texts):
+            return []
+        short = pc.fill_null(pc.if_else(pc.greater(pc.binary_length(texts), SLICE), pa.scalar("", texts.type), texts), "").cast(pa.string())
+        lines = pc.replace_substring(short, "\n", " \n")
+        cut = pc.split_pattern(pc.binary_join_element_wise("\n", lines, ""), " ")
+        chunks, bounds = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        different = pc.binary_join(pa.ListArray.from_arrays([0, len(chunks.dictionary)], chunks.dictionary), " ")[0].as_py().split(" ")
+        rest, line = self.rest, self._line
+        ids = pa.array([line(c) if c[:1] == "\n" else rest[c] for c in different], pa.binary()).take(chunks.indices)
+        stops = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1)[bounds]
+        data = ids.buffers()[2].to_pybytes() if ids.buffers()[2] else b""
+        # empty, very long, or white space beside white space
+        alone = np.logical_or.reduceat(ids.is_null().to_numpy(zero_copy_only=False), bounds[:-1])
+        starts = stops[:-1] + len(self.feed)
+        return [
+            self.encode(texts[i].as_py()) if other else data[start:stop]
+            for i, (start, stop, other) in enumerate(zip(starts.tolist(), stops[1:].tolist(), alone.tolist()))
+        ]
+
+    def _line(self, chunk: str) -> bytes | None:
+        """Ids of a line feed and of the chunk behind it."""
+        ids = self.first[chunk[1:]]
+        return None if ids is None else self.feed + ids
+
     def _slices(self, text: str) -> Iterator[bytes]:
         """Slices start at a blank between other characters."""
         at = 0

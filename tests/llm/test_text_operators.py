@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import struct
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -313,6 +316,52 @@ def test_workers_give_encoders_back():
     assert not token_ids._ENCODERS and token_ids.encoder(path).encode("some words, again and again") == ids
 
 
+def test_encoder_takes_many_texts_at_once(byte_tokenizer, monkeypatch):
+    """The library's ids; each different chunk of all texts is encoded once, even by a worker that keeps none."""
+    parts = ["a", "Wörd", "x.", "(y)%%%", "don't", "日本", "ɐb", "<|endoftext|>", "\t", "\r\n", "\x00", "\x1f", "", " ", "\n", "\n\n"]
+    rng = np.random.default_rng(5)
+    texts = [None, "", " ", "\n", "\na", "a\n", *("".join(parts[i] + " \n"[j : j + 1] for i, j in rng.integers(0, (len(parts), 3), (k % 9, 2))) for k in range(3000))]
+    expected = [array("I", byte_tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes() for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        assert ChunkEncoder(BYTE).encode_all(pa.array(texts, kind)) == expected
+    assert ChunkEncoder(BYTE, most=2000).encode_all(pa.array(texts).slice(7, 900)) == expected[7:907]
+    assert ChunkEncoder(BYTE).encode_all(pa.array([], pa.string())) == []
+    monkeypatch.setattr(token_ids, "SLICE", 4)
+    assert ChunkEncoder(BYTE).encode_all(pa.array(texts)) == expected
+    monkeypatch.undo()
+    encoder, asked = ChunkEncoder(BYTE, most=0), []
+    for chunks in (encoder.first, encoder.rest):
+        chunks.piece = lambda text, piece=chunks.piece: asked.append(text) or piece(text)
+    text = "one two three one two three"
+    assert encoder.encode_all(pa.array([text] * 50)) == [ChunkEncoder(BYTE).encode(text)] * 50
+    assert sorted(asked) == [" one", " three", " two", "one"]
+
+
+def test_words_with_marks_behind_go_to_the_model(byte_tokenizer):
+    """Runs of marks are encoded once, not once a word."""
+    encoder, asked = ChunkEncoder(BYTE), []
+    encoder.rest.whole = lambda text, whole=encoder.rest.whole: asked.append(text) or whole(text)
+    text = "x " + " ".join(f"{a}{b}{m}" for a in "abcd" for b in "abcd" for m in ("%%%", ")", "\"", "|>", "_", "-"))
+    assert encoder.encode(text) == array("I", byte_tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    assert set(asked) == {"%%%", ")", "\"", "|>", "_", "-"}
+
+
+@pytest.mark.parametrize("width", range(1, 33))
+def test_block_layout(width):
+    """The lowest bit of a block's first difference comes first, whatever the width."""
+    rng = np.random.default_rng(width)
+    ids = rng.integers(0, 1 << width, 512, dtype=np.uint64).astype("u4")
+    ids[::256], ids[1::256] = 0, (1 << width) - 1
+    payload = token_files.pack(ids, percentile=1)
+    size, at = 32 * width, 20
+    for block in ids.reshape(2, 256):
+        bits = [(int(v) >> k) & 1 for v in block for k in range(width)]
+        assert payload[at : at + 7] == struct.pack("<IBH", 0, width, 0)
+        assert payload[at + 7 : at + 7 + size] == np.packbits(bits, bitorder="little").tobytes()
+        at += 7 + size
+    assert at == len(payload) and (token_files.unpack(payload) == ids).all()
+
+
 def test_encoder_holds_the_words_of_a_large_corpus():
     """300,000 different words still are in a worker's dictionary when they come again."""
     encoder = ChunkEncoder(BYTE)
