@@ -11,6 +11,7 @@ from tests.test_queries import ORACLES, SF, TABLES
 QUERIES = [
     "dml_compact",
     "dml_compact_cascade",
+    "dml_increment",
 ]
 
 
