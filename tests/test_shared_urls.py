@@ -12,6 +12,7 @@ QUERIES = [
     "dml_compact",
     "dml_compact_cascade",
     "dml_increment",
+    "dml_increment_after_delete",
 ]
 
 
