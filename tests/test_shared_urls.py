@@ -13,6 +13,7 @@ QUERIES = [
     "dml_compact_cascade",
     "dml_increment",
     "dml_increment_after_delete",
+    "dml_insert",
 ]
 
 
