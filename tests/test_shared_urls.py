@@ -14,6 +14,7 @@ QUERIES = [
     "dml_increment",
     "dml_increment_after_delete",
     "dml_insert",
+    "dml_insert_over",
 ]
 
 
