@@ -15,6 +15,7 @@ QUERIES = [
     "dml_increment_after_delete",
     "dml_insert",
     "dml_insert_over",
+    "dml_insert_ttl",
 ]
 
 
