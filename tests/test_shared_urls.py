@@ -16,6 +16,7 @@ QUERIES = [
     "dml_insert",
     "dml_insert_over",
     "dml_insert_ttl",
+    "dml_merge_level0",
 ]
 
 
