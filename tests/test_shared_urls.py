@@ -17,6 +17,7 @@ QUERIES = [
     "dml_insert_over",
     "dml_insert_ttl",
     "dml_merge_level0",
+    "dml_stats",
 ]
 
 
