@@ -18,6 +18,7 @@ QUERIES = [
     "dml_insert_ttl",
     "dml_merge_level0",
     "dml_stats",
+    "dml_wipe_domain",
 ]
 
 
