@@ -327,22 +327,45 @@ class BinaryStore(LogTable):
             large = F.coalesce(F.octet_length(value) > BLOB_BYTES, F.lit(False))
             held = rows.filter(large).select(F.sha2(value, 256).alias("blob"), value.alias("value"), F.monotonically_increasing_id().alias("pos"))
             if not held.isEmpty():
-                self.blobs.append(held)
+                self.blobs.append(held, dealt=True)  # sorting by digest would move every value
             name = F.when(large, F.sha2(value, 256))
             value = F.when(~large, value)
         return rows.select(*shown(value, name))
 
-    def _together(self, rows: DataFrame, value: Column, blob: Column, shown: Callable[[Column], list[Column]]) -> DataFrame:
-        """``rows`` with their large values put back; rows without a blob meet nothing, each under a name of its own."""
+    def _together(self, rows: DataFrame, value: Column, blob: Column, shown: Callable[[Column], list[Column]], made: Callable[[Column], Column] = lambda v: v) -> DataFrame:
+        """``rows`` with what is ``made`` of their values, large ones put back; rows without a blob meet nothing and stay apart."""
         if self.blobs is None or not self.blobs.batches():
-            return rows.select(*shown(value))
-        held = self.blobs.read().groupBy(F.col("blob").alias("_name")).agg(F.first("value").alias("_blob"))
-        met = rows.withColumn("_wanted", F.coalesce(blob, F.concat(F.lit("-"), F.xxhash64("key").cast("string"))))
-        return met.join(held, F.col("_wanted") == F.col("_name"), "left").select(*shown(F.coalesce(value, F.col("_blob"))))
+            return rows.select(*shown(made(value)))
+        held = self._one_of_each(self._places()).select(F.col("blob").alias("_name"), made(F.col("value")).alias("_blob"))
+        large = rows.filter(blob.isNotNull()).withColumn("_wanted", blob).hint("shuffle_hash")
+        met = large.join(held, F.col("_wanted") == F.col("_name"), "left")
+        return rows.filter(blob.isNull()).select(*shown(made(value))).unionByName(met.select(*shown(F.col("_blob"))))
+
+    def _places(self) -> DataFrame:
+        """``_name`` of every blob and where the first of its rows stands."""
+        return self.blobs.read().groupBy(F.col("blob").alias("_name")).agg(F.min(F.struct("batch", "pos")).alias("_place"))
+
+    def _one_of_each(self, places: DataFrame) -> DataFrame:
+        """The blobs' rows at ``places``, by a bit a row that every task gets: values don't move.
+
+        Positions count up inside a partition, so a page of 32,768 bits has as many rows; its end without rows is left out.
+        """
+        page, bit = F.shiftright("pos", 15), F.col("pos").bitwiseAND(32767)
+        bits = places.select("_place.*").groupBy(F.col("batch").alias("_batch"), page.alias("_page"))
+        bits = bits.agg(F.bitmap_construct_agg(bit).alias("_bits"), F.max(bit).alias("_last"))
+        bits = bits.withColumn("_bits", F.substring("_bits", F.lit(1), F.shiftright("_last", 3).cast("int") + 1))
+        met = self.blobs.read().join(F.broadcast(bits), (F.col("batch") == F.col("_batch")) & (page == F.col("_page")))
+        byte = F.conv(F.hex(F.substring("_bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        set_ = F.expr("(1 << cast(pos & 7 as int))").bitwiseAND(F.coalesce(byte, F.lit(0))) != 0
+        return met.filter(set_).drop("_batch", "_page", "_bits", "_last")
 
     def rows(self) -> DataFrame:
         return self._together(self.live(), F.col("value"), F.col("blob"), lambda value: [F.col("key"), value.alias("value")])
 
+    def mapped(self, made: Callable[[Column], Column]) -> DataFrame:
+        """``key`` of every live row and what is ``made`` of its value, large values where they stand, before keys meet them."""
+        return self._together(self.live(), F.col("value"), F.col("blob"), lambda value: [F.col("key"), value.alias("value")], made)
+
     def portable(self, rows: DataFrame) -> DataFrame:
         row = lambda value: F.struct(value.alias("value"), F.lit(None).cast("string").alias("blob"))
         others = [c for c in rows.columns if c != "row"]
@@ -377,11 +400,9 @@ class BinaryStore(LogTable):
         """Drop blobs that no key's newest version points to, and tell how many rows of blobs that were."""
         if self.blobs is None or not self.blobs.batches():
             return 0
-        held = self.blobs.read()
-        before = held.count()
-        current = self.live().filter("blob is not null").select("blob")
-        kept = scans.live_blobs(held, current, "blob").dropDuplicates(["blob"])
-        self.blobs.replace(kept)
+        before = self.blobs.read().count()
+        current = self.live().filter("blob is not null").select(F.col("blob").alias("_name"))
+        self.blobs.replace(self._one_of_each(scans.live_blobs(self._places(), current, "_name")), dealt=True)
         return before - self.blobs.read().count()
 
 

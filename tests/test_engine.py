@@ -495,6 +495,26 @@ def test_large_values_stand_apart(db):
     assert b.count() == 0 and b.get(b"a") is None
 
 
+def test_wide_rows_are_read_one_at_a_time(spark, tmp_path):
+    """Batches of 4,096 large values, in readers and in writers before they look at what they hold, fill an executor."""
+    with Engine.open(spark, f"file://{tmp_path}/wide") as db:
+        b = db.binarystore()
+        b.put(spark.range(64).selectExpr("cast(cast(id as string) as binary) as key", "cast(repeat(sha2(cast(id as string), 512), 16000) as binary) as value"))
+        plans = [rows._jdf.queryExecution().executedPlan().toString() for rows in (b.blobs.read(), b.live(), b.rows())]
+        assert all("Batched: false" in p and "Batched: true" not in p for p in plans)
+        assert "first(value" not in plans[2] and "SortMergeJoin" not in plans[2]  # values are neither aggregated nor sorted
+        assert b.blobs.read().sparkSession is spark and spark.conf.get("spark.sql.parquet.enableVectorizedReader") == "true"
+        found = b.rows().selectExpr("cast(key as string) as key", "md5(value) as digest", "octet_length(value) as n").collect()
+        expected = spark.range(64).selectExpr("cast(id as string) as key", "md5(cast(repeat(sha2(cast(id as string), 512), 16000) as binary)) as digest").collect()
+        assert {(r.key, r.digest) for r in found} == {(r.key, r.digest) for r in expected} and {r.n for r in found} == {2_048_000}
+        b.put(spark.range(8).selectExpr("cast(concat('again', id) as binary) as key", "cast(repeat(sha2(cast(id as string), 512), 16000) as binary) as value"))
+        assert b.blobs.read().count() == 72 and b.rows().count() == 72
+        b.delete(spark.range(8).selectExpr("cast(concat('again', id) as binary) as key"))
+        b.delete(spark.range(0, 64, 2).selectExpr("cast(cast(id as string) as binary) as key"))
+        assert {(r.key, r.value) for r in b.mapped(F.md5).select(F.col("key").cast("string"), "value").collect()} == {(r.key, r.digest) for r in expected if int(r.key) % 2}
+        assert b.gc_blobs() == 40 and b.count() == b.blobs.read().count() == 32
+
+
 def test_blobs_query_takes_every_source(spark):
     from sedimenta.plans.dml import QUERIES
 
