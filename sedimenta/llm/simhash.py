@@ -275,12 +275,30 @@ def _crowd_links(sets: DataFrame, crowds: DataFrame, similarity: float, part: in
     """Links (a, b) that connect all pairs at least ``similarity`` alike inside each crowd of ``crowds(node, crowd)``.
 
     A crowd is dealt into parts of about ``part`` texts; a task compares two parts in memory and gives only the
-    links that connect what it found, so no pair is written that isn't one of those.
+    links that connect what it found, so no pair is written that isn't one of those.  Every part meets every other
+    one, ``2 * ROUND`` of them a round: what a round shuffles grows with the crowd, not with its square.
     """
-    sizes = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+    sizes = cut(crowds.groupBy("crowd").agg(F.ceil(F.count("*") / part).cast("int").alias("parts")))
+    found = None
+    for k in range(((sizes.agg(F.max("parts")).first()[0] or 0) // 2) // ROUND + 1):
+        links_of = cut(_round_links(_meetings(crowds, sizes, k).join(sets, "node"), similarity))
+        found = links_of if found is None else found.unionByName(links_of)
+    return found
+
+
+def _meetings(crowds: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """``crowd, node, part, other``: the parts that each text's part meets in round ``k``, by their distance in a circle."""
     dealt = crowds.join(sizes, "crowd").withColumn("part", F.pmod(F.hash("node"), F.col("parts")))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    dealt = dealt.join(sets, "node").select("crowd", "node", "hashes", "part", other)
+    near, far = F.lit(k * ROUND), F.least(F.lit((k + 1) * ROUND - 1), F.floor(F.col("parts") / 2).cast("int"))
+    steps = F.when(near <= far, F.sequence(near, far))
+    ahead = F.transform(steps, lambda x: F.pmod(F.col("part") + x, F.col("parts")))
+    back = F.transform(steps, lambda x: F.pmod(F.col("part") - x, F.col("parts")))
+    others = F.array_distinct(F.concat(ahead, back))
+    return dealt.select("crowd", "node", "part", F.explode(others).alias("other"))
+
+
+def _round_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) inside each two parts of ``dealt(crowd, node, part, other, hashes)``, an own task's."""
     low, high = F.least("part", "other"), F.greatest("part", "other")
     rows = dealt.select(F.xxhash64("crowd", low, high).alias("task"), "crowd", low.alias("low"), high.alias("high"), (F.col("part") == low).alias("side"), "node", "hashes")
 
@@ -314,6 +332,7 @@ def _crowd_links(sets: DataFrame, crowds: DataFrame, similarity: float, part: in
 
 
 CROWDED = 32  # texts of a posting list that are still paired one by one
+ROUND = 4  # distances of parts that meet in one round
 PART = 1024  # texts of a crowd that a task compares with as many others
 
 

@@ -516,3 +516,23 @@ def test_few_edges_are_united_by_one_task(spark):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, connected_components(df, few=0).collect()))
     assert jobs <= 8
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 8, 9, 20, 33])
+def test_parts_of_a_crowd_meet_in_rounds(spark, parts):
+    """Every two parts meet in one round, and no round has a text more than a fixed number of times."""
+    crowds = spark.range(40 * parts).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("crowd"))
+    sizes = spark.createDataFrame([(1, parts)], "crowd long, parts int")
+    met = []
+    for k in range(parts // 2 // simhash.ROUND + 1):
+        rows = simhash._meetings(crowds, sizes, k)
+        assert rows.groupBy("node").count().agg(F.max("count")).first()[0] <= 2 * simhash.ROUND
+        met += [tuple(r) for r in rows.select("part", "other").distinct().collect()]
+    assert sorted(met) == [(a, b) for a in range(parts) for b in range(parts)]
+
+
+def test_links_of_a_large_crowd(spark):
+    sets = spark.range(400).selectExpr("id as node", "array_sort(transform(sequence(0, 19), j -> xxhash64(case when j < 18 then id div 2 else id + 1000000 end, j))) as hashes")
+    crowds = sets.select("node", F.lit(7).cast("long").alias("crowd"))
+    found = {tuple(sorted(r)) for r in simhash._crowd_links(sets, crowds, 0.8, 20).collect()}
+    assert found == {(i, i + 1) for i in range(0, 400, 2)}
